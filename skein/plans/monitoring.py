@@ -90,15 +90,22 @@ def boundary_scan_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "baseline_gate",
     f"""WITH {POSTS_SQL}, s AS (SELECT source_key, regexp_extract(source_key, '[0-9]+')::INT % 3 <> 0 AS baselined, count(*)::{L} AS scanned FROM posts GROUP BY 1)
-    SELECT source_key, baselined, scanned, CASE WHEN baselined THEN scanned ELSE 0 END::{L} AS emitted, scanned > 0 AS baselined_after, (SELECT count(*) > 0 AND count_if(scanned > 0) = 0 FROM s) AS all_failed FROM s""",
+    SELECT source_key, baselined, scanned, CASE WHEN baselined THEN scanned ELSE 0 END::{L} AS emitted, scanned > 0 AS baselined_after FROM s""",
 )
 def baseline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source's first run only records; one without rows never becomes baselined."""
     s = posts(spark, sf_dir).groupBy("source_key").agg(F.count("*").alias("scanned"))
     s = s.withColumn("baselined", F.regexp_extract("source_key", "[0-9]+", 0).cast("int") % 3 != 0)
-    bad = s.agg(((F.count("*") > 0) & (F.count_if(F.col("scanned") > 0) == 0)).alias("all_failed"))
-    s = s.select("source_key", "baselined", "scanned", F.when(F.col("baselined"), F.col("scanned")).otherwise(F.lit(0)).cast("long").alias("emitted"), (F.col("scanned") > 0).alias("baselined_after"))
-    return s.join(F.broadcast(bad), how="cross")  # one row
+    return s.select("source_key", "baselined", "scanned", F.when(F.col("baselined"), F.col("scanned")).otherwise(F.lit(0)).cast("long").alias("emitted"), (F.col("scanned") > 0).alias("baselined_after"))
+
+
+@register("all_sources_failed", f"SELECT count(*)::{L} AS selected, count_if(n > 0)::{L} AS succeeded, count(*) > 0 AND count_if(n > 0) = 0 AS all_failed FROM (SELECT s_suppkey, count(doc_id) AS n FROM supplier LEFT JOIN documents ON source = 'src' || s_suppkey GROUP BY 1)")
+def all_sources_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source without rows hasn't succeeded; the run fails if none has."""
+    n = read(spark, sf_dir, "documents", "source").groupBy("source").agg(F.count("*").alias("n"))
+    s = read(spark, sf_dir, "supplier", "s_suppkey").withColumn("source", F.concat(F.lit("src"), F.col("s_suppkey").cast("string"))).join(n, "source", "left")
+    good = F.count_if(F.coalesce("n", F.lit(0)) > 0)
+    return s.agg(F.count("*").alias("selected"), good.alias("succeeded"), ((F.count("*") > 0) & (good == 0)).alias("all_failed"))
 
 
 # --- dedupe and caps ---------------------------------------------------------

@@ -4,9 +4,11 @@ Two small collections of sketches, A and B, are computed for a document; a
 table key combines one sketch of A with one of B, so ``m * m`` tables cost
 ``2 * m`` sketches.  The same square root saves rows: a document goes to the
 tables only with those of its A and B sketches that another document shares.
-Within a table every document is paired with the smallest and the largest id
-of its bucket, never with all others; rounds repeat with other pairings where a
-bucket still spans several components, until one adds no link.  Each pair is
+Within a table a document is paired with one other, never with all: what is
+outside the bucket's largest component with a member of that.  The first round
+takes each document's most frequent partner, the second one partner in each
+foreign component, later ones all, drawn anew in each table and round.  Rounds
+go on where buckets still span several components, until one adds no link.  Each pair is
 confirmed on the full shingle sets.
 """
 
@@ -25,6 +27,8 @@ from .vectext import by_row, column, mix, pieces, shingles, words
 
 #: Sketches in each collection, and minhashes joined in a sketch.
 SKETCHES, JOINED = 12, 2
+#: So many rounds are made at least.
+ROUNDS = 5
 #: Minhashes of 8 bits that a pair must agree on, as a share of those expected at the threshold, to be confirmed on full sets (over six standard deviations below).
 SIGNATURE_SHARE = 0.5
 
@@ -136,25 +140,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, tried, rounds = (None if links.isEmpty() else links), None, 0
     component = None
     while True:
-        if component is None:
-            ends = tables.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-            rows = tables.withColumn("c", F.col("id"))
-        else:
-            rows = materialize(tables.join(component.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "rows")
-            order = F.xxhash64("id", F.lit(rounds))
-            ends = (
-                rows.groupBy("key")
-                .agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct(order, "id")).alias("lo"), F.max(F.struct("c", order, "id")).alias("hi"))
-                .where("c1 <> c2")
-                .select("key", F.col("lo.id").alias("lo"), F.col("hi.id").alias("hi"))
-            )
-        ends = materialize(ends, "ends")
-        met = rows.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("p")).where("id <> p")
-        found = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        rows = tables.select("key", "id", F.col("id").alias("c"), F.lit(1).cast("long").alias("size"))
         if component is not None:
-            known = component.select("node", "component")
-            found = found.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            found = found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+            sizes = component.groupBy("component").agg(F.count("*").alias("size"))
+            known = component.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
+            rows = tables.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+            rows = materialize(rows, "rows")
+        # An end of each bucket that spans several components: a member of its largest one.
+        order = F.xxhash64("id", *([F.lit(rounds)] if rounds < 2 else ["key", F.lit(rounds)])) if rounds else -F.col("id")
+        end = F.struct("size", order.alias("o"), "id", "c")
+        ends = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(end).alias("big")).where("c1 <> c2")
+        ends = materialize(ends.select("key", F.col("big.id").alias("p"), F.col("big.c").alias("pc")), "ends")
+        met = rows.join(ends, "key").where("c <> pc").select("id", "p", "pc")
+        if rounds < 2:
+            # First the partner that shares most tables, then one of each foreign component; from then on all of them.
+            counted = met.groupBy("id", "p", "pc").agg(F.count("*").alias("n"))
+            met = counted.groupBy("id", *(["pc"] if rounds else [])).agg(F.max(F.struct("n", (-F.col("p")).alias("q"))).alias("m")).select("id", (-F.col("m.q")).alias("p"))
+        found = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        if tried is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
         found = materialize(found, "found")
         k = 2 * SKETCHES * JOINED
         near = (
@@ -166,10 +170,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .distinct()
         )
         near = materialize(near, "near")
-        tried = found if tried is None else materialize(tried.unionByName(found), "tried")
-        discard(ends, *([] if component is None else [rows]))
+        tried = found if tried is None else tried.unionByName(found)
+        discard(ends, rows)
+        rounds += 1
         if near.isEmpty():
-            break
+            if rounds >= ROUNDS:
+                break
+            continue
         sure = (
             near.join(src.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(src.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -179,10 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sure = materialize(sure, "links")
         discard(near)
         if sure.isEmpty():
-            break
-        links = sure if links is None else materialize(links.unionByName(sure), "links")
+            if rounds >= ROUNDS:
+                break
+            continue
+        links = sure if links is None else links.unionByName(sure)
         component = connected_components(links, "a", "b")
-        rounds += 1
     if component is None and links is not None:
         component = connected_components(links, "a", "b")
     discard(tables, reps)

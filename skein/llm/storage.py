@@ -22,13 +22,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{uuid.uuid4().hex[:12]}-{name}"
 
 
+#: Files of a table for each core of the cluster, at most.
+FILES_PER_CORE = 4
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: later
     stages re-read the table when an executor is lost, and joins on it get an
-    exchange of their own, whose skewed partitions adaptive execution splits."""
+    exchange of their own, whose skewed partitions adaptive execution splits.
+    A few files a core are enough: more would cost more to commit than to fill."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out

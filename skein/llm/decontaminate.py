@@ -55,7 +55,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     item_tokens = items.select("item", tokens(F.col("t")).alias("b"))
     places = places.join(F.broadcast(item_tokens) if small else item_tokens, "item")
     places = materialize(places.groupBy("id").agg(F.collect_list(F.struct("item", "offset", "b")).alias("places")), "places")
-    met = src.join(places.withColumnRenamed("id", "hit"), F.col("id").eqNullSafe(F.col("hit")))
+    # Always a merge join: the hits grow with the documents.
+    met = src.join(places.withColumnRenamed("id", "hit").hint("merge"), F.col("id").eqNullSafe(F.col("hit")))
     met = met.select("id", tokens(F.col("t")).alias("a"), "places").select("id", "a", F.explode("places").alias("p"))
     # Where the two overlap, from the later start to the earlier end.
     begin = F.greatest(F.lit(0), -F.col("p.offset"))

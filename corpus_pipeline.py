@@ -17,20 +17,24 @@ LEAST_SCORE = 0.5
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` but for the ids in ``gone``; a merge join at every size, as these grow with the documents."""
+    return docs.join(materialize(gone.select("doc_id").distinct(), name).hint("merge"), "doc_id", "left_anti")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't recognised.  The model learns from
     these documents' own labels; rows without id can't be judged and stay."""
     said = language_id.predict(docs, language_model(docs))
-    gone = said.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(materialize(gone, "unrecognised"), "doc_id", "left_anti")
+    gone = said.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SCORE))
+    return without(docs, gone, "unrecognised")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest id; of repeated rows of an id one stays."""
     found = near_dedup.near_duplicates(docs)
-    gone = materialize(found.where("NOT kept").select("doc_id").distinct(), "duplicates")
     twice = materialize(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    rest = without(docs, found.where("NOT kept"), "duplicates")
     if twice.isEmpty():
         return rest
     one = rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -40,8 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that overlap a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(materialize(gone, "contaminated"), "doc_id", "left_anti")
+    return without(docs, decontaminate.overlaps(docs, benchmark), "contaminated")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

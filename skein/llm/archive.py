@@ -253,7 +253,7 @@ def arc_to_warc(arcs: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
 
     records = arcs.mapInArrow(parse, "key long, digest string, url string, ip string, date string, type string, body binary")
-    joined = records.join(again.withColumnRenamed("key", "again_key"), (F.col("key") == F.col("again_key")) & (F.col("digest") == F.col("same")), "left").select("key", "digest", "url", "ip", "date", "type", "body", "lead_id", "first_url", "first_date")
+    joined = records.join(again.withColumnRenamed("key", "again_key").hint("merge"), (F.col("key") == F.col("again_key")) & (F.col("digest") == F.col("same")), "left").select("key", "digest", "url", "ip", "date", "type", "body", "lead_id", "first_url", "first_date")
     _write(joined.mapInArrow(convert, "value binary"), path, "\r\n\r\n")
     discard(known, first, lead, again)
 

@@ -71,6 +71,7 @@ def with_next(docs: DataFrame, compute: PairFunction, schema: str, id_col: str =
     both = materialize(
         src.repartitionByRange(n, order).sortWithinPartitions(order, F.col("text")).mapInArrow(run, f"part int, role int, edge_id long, edge_text string, {schema}"),
         "next",
+        merge=False,
     )
     ends = both.where("role IS NOT NULL")
     parts = sorted(r["part"] for r in ends.where("role = 0").select("part").collect())  # one a partition

@@ -26,14 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 FILES_PER_CORE = 4
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, merge: bool = True) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: later
     stages re-read the table when an executor is lost, and joins on it get an
     exchange of their own, whose skewed partitions adaptive execution splits.
-    A few files a core are enough: more would cost more to commit than to fill."""
+    A few files a core are enough: more would cost more to commit than to fill.
+    ``merge=False`` keeps a task for each partition, where a function tells
+    partitions apart by the task."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    out = df.coalesce(FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism)) if merge else df
+    out.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out

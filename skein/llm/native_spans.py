@@ -21,10 +21,16 @@ def matches(df: DataFrame, text_col: str, name: str, pattern: str) -> DataFrame:
     return df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split(text_col, pattern, -1)))
 
 
+#: Matches folded together; a fold copies what it has gathered, so it is kept short.
+BLOCK = 64
+
+
 def spans(name: str, kind: str, order: int, valid: Callable[[Column], Column]) -> Column:
-    """The spans of the matches that ``valid`` accepts, in order; an empty array without any."""
+    """The spans of the matches that ``valid`` accepts, in order; an empty array
+    without any.  Blocks of matches are folded first, then the blocks, so the
+    work grows with the number of matches and not with its square."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     pair = F.zip_with(F.slice(f"{name}_g", 1, F.size(f"{name}_m")), f"{name}_m", lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
@@ -32,8 +38,21 @@ def spans(name: str, kind: str, order: int, valid: Callable[[Column], Column]) -
         one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))
         return F.struct(end.alias("at"), F.when(valid(x["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pair, start, step, lambda acc: acc["out"])
-    return F.when(F.size(f"{name}_m") > 0, found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shift(acc: Column, x: Column) -> Column:
+        moved = F.struct(acc["at"].alias("by"), x["out"].alias("out"))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def move(x: Column) -> Column:
+        return F.transform(x["out"], lambda s: F.struct((s["start"] + x["by"]).alias("start"), s["ord"].alias("ord"), (s["end"] + x["by"]).alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<by:int,out:array<{SPAN}>>>)").alias("out"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size(pair), F.lit(BLOCK)), lambda i: fold(F.slice(pair, i, F.lit(BLOCK))))
+    long = F.flatten(F.transform(F.aggregate(blocks, start, shift, lambda acc: acc["out"]), move))
+    short = F.size(f"{name}_m") <= BLOCK
+    return F.when(F.size(f"{name}_m") == 0, none).when(short, fold(pair)["out"]).otherwise(long)
 
 
 def merged(*arrays: Column) -> Column:

@@ -61,22 +61,22 @@ def window_entropy(s: Column, window: Column) -> Column:
     """
     size = F.least(F.length(s), window)
     bits = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), size), codes), 1, F.length(s))
+    moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("into"), b.alias("out")))
 
-    def step(acc: Column, i: Column) -> Column:
-        into = code(i)
-        full = i > size
-        out = F.when(full, code(i - size)).otherwise(F.lit(0))
+    def step(acc: Column, x: Column) -> Column:
+        into, out, n = x["into"], x["out"], acc["n"] + 1  # out is 0 until the window is full
         a = F.element_at(acc["counts"], into)
-        b = F.when(full, F.element_at(acc["counts"], out)).otherwise(F.lit(0))
+        b = F.when(out > 0, F.element_at(acc["counts"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
         same = into == out
         total = F.when(same, acc["sum"]).otherwise(acc["sum"] + bits(a + 1) - bits(a) + bits(b - 1) - bits(b))
         counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int")))
-        entropy = F.when(i >= size, F.log2(size) - total / size).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+        entropy = F.when(n >= size, F.log2(size) - total / size).otherwise(F.lit(0.0))
+        return F.struct(n.alias("n"), counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["best"])
+    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(moves, start, step, lambda acc: acc["best"])
 
 
 def is_secret(s: Column) -> Column:

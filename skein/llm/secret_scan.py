@@ -48,7 +48,7 @@ ALLOW = (
     "(?i)example|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9_+/=-]+$",
-    "^[/=_-]*[A-Za-z]+[0-9]{0,4}(?:[/=_-]+[A-Za-z]*[0-9]{0,4})*$",
+    "^[/=_-]*+[A-Za-z]++[0-9]{0,4}+(?:[/=_-]++[A-Za-z]*+[0-9]{0,4}+)*+$",
 )
 
 
@@ -66,16 +66,17 @@ def window_entropy(s: Column, window: Column) -> Column:
     moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("into"), b.alias("out")))
 
     def step(acc: Column, x: Column) -> Column:
-        into, out, n = x["into"], x["out"], acc["n"] + 1  # out is 0 until the window is full
+        into, out, n, size = x["into"], x["out"], acc["n"] + 1, acc["size"]  # out is 0 until the window is full
         a = F.element_at(acc["counts"], into)
         b = F.when(out > 0, F.element_at(acc["counts"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
         same = into == out
         total = F.when(same, acc["sum"]).otherwise(acc["sum"] + bits(a + 1) - bits(a) + bits(b - 1) - bits(b))
         counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int")))
         entropy = F.when(n >= size, F.log2(size) - total / size).otherwise(F.lit(0.0))
-        return F.struct(n.alias("n"), counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+        return F.struct(size.alias("size"), n.alias("n"), counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
-    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    # What depends on all of the run is evaluated once, here, and not in each step.
+    start = F.struct(size.alias("size"), F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
     return F.aggregate(moves, start, step, lambda acc: acc["best"])
 
 

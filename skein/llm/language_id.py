@@ -66,34 +66,38 @@ class LanguageModel:
     idf: np.ndarray
     temperature: float = 1.0
 
-    def features(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.flatnonzero(tf)
-        x = (1 + np.log(tf[i])) * self.idf[i]
-        return i, x / (np.sqrt((x * x).sum()) or 1.0)
+    def features(self, i: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """TF-IDF of the buckets ``i`` with their counts, of length 1."""
+        x = (1 + np.log(tf)) * self.idf[i]
+        return x / (np.sqrt((x * x).sum()) or 1.0)
 
-    def logits(self, tf: np.ndarray) -> np.ndarray:
-        i, x = self.features(tf)
-        return x @ self.weights[i] + self.bias
+    def logits(self, i: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        return self.features(i, tf) @ self.weights[i] + self.bias
 
-    def probabilities(self, tf: np.ndarray) -> np.ndarray:
-        z = self.logits(tf) / self.temperature
+    def probabilities(self, counts: np.ndarray) -> np.ndarray:
+        i = np.flatnonzero(counts)
+        z = self.logits(i, counts[i]) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
 
-def fit_ftrl(model: LanguageModel, rows: list[tuple[np.ndarray, int]], *, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> None:
+#: A training row: buckets, their counts, the label's number.
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def fit_ftrl(model: LanguageModel, rows: list[Row], *, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> None:
     """Per-coordinate FTRL-proximal on softmax loss; L1 and L2 keep weights sparse and small."""
     k = len(model.labels)
     z, n = np.zeros((DIM + 1, k)), np.zeros((DIM + 1, k))
-    ready = [(np.append(i, DIM), np.append(x, 1.0), y) for i, x, y in ((*model.features(tf), y) for tf, y in rows)]
 
     def solve(i):
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for epoch in range(epochs):
-        for at in np.random.default_rng(epoch).permutation(len(ready)):
-            i, x, y = ready[at]
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            i, tf, y = rows[at]
+            i, x = np.append(i, DIM).astype(np.int64), np.append(model.features(i, tf), 1.0)
             w = solve(i)
             s = x @ w
             p = np.exp(s - s.max())
@@ -107,11 +111,11 @@ def fit_ftrl(model: LanguageModel, rows: list[tuple[np.ndarray, int]], *, alpha:
     model.weights, model.bias = w[:-1], w[-1]
 
 
-def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, int]]) -> float:
+def calibrate(model: LanguageModel, rows: list[Row]) -> float:
     """The temperature of least negative log-likelihood on ``rows``, by golden-section search on its logarithm."""
     if not rows:
         return 1.0
-    z, y = np.array([model.logits(tf) for tf, _ in rows]), np.array([y for _, y in rows])
+    z, y = np.array([model.logits(i, tf) for i, tf, _ in rows]), np.array([y for *_, y in rows])
 
     def loss(t: float) -> float:
         s = z / np.exp(t)
@@ -173,11 +177,7 @@ def train(docs: DataFrame, text_col: str, label_col: str, key: Column, *, max_tr
     if not sample:
         return None
     model = LanguageModel(labels, np.zeros((DIM, len(labels))), np.zeros(len(labels)), np.log((1 + total) / (1 + df)) + 1)
-    data = []
-    for _, n, label, tf in sample:
-        counts_of = np.zeros(DIM, np.int64)
-        counts_of[np.frombuffer(tf, np.uint16, n)] = np.frombuffer(tf, np.uint32, n, 2 * n)
-        data.append((counts_of, labels.index(label)))
+    data = [(np.frombuffer(tf, np.uint16, n), np.frombuffer(tf, np.uint32, n, 2 * n), labels.index(label)) for _, n, label, tf in sample]
     fit_ftrl(model, [x for i, x in enumerate(data) if i % 5], alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
     model.temperature = calibrate(model, data[::5])
     return model

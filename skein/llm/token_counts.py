@@ -21,8 +21,8 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 PART = 1 << 16
 #: Bytes of text in one call of the encoder.
 BATCH_BYTES = 1 << 18
-#: A letter, a space and a letter: every supported pre-tokenizer ends a token before that space.
-_SAFE = re.compile("[A-Za-z](?= [A-Za-z])")
+#: A letter or digit, a space, another one: every supported pre-tokenizer ends a token before that space.
+_SAFE = re.compile("[A-Za-z0-9](?= [A-Za-z0-9])")
 
 
 def split_safely(text: str, most: int = PART) -> list[str]:

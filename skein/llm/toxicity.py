@@ -25,7 +25,7 @@ DIM = 1 << BITS
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word buckets of each row, end to end, and their row offsets."""
-    hashes, first, _ = words(raw, off)
+    hashes, first, _ = words(raw, off, bare=True)
     row = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(first))
     key = np.unique(row << np.uint64(BITS) | hashes >> np.uint64(64 - BITS))
     return (key & np.uint64(DIM - 1)).astype(np.int64), np.searchsorted(key >> np.uint64(BITS), np.arange(len(off)).astype(np.uint64))
@@ -53,7 +53,7 @@ def log_odds(p):
     return np.log(p / (1 - p))
 
 
-def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, *, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5) -> Linear:
+def fit_linear(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, *, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.5) -> Linear:
     """Logistic loss with elastic net, by follow-the-regularised-leader."""
     k = earlier.shape[1]
     z, n = np.zeros(DIM + k + 1), np.zeros(DIM + k + 1)

@@ -73,14 +73,17 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes in order, the first word's index of each row (n + 1), and
-    the words' byte lengths."""
+    the words' byte lengths.  ``bare``: ASCII punctuation parts words too."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     low = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    if bare:
+        solid = ((low >= 97) & (low <= 122)) | ((raw >= 48) & (raw <= 57)) | (raw >= 128)
+    else:
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(n + 1, bool)  # a row begins
     edge[offsets[:-1][offsets[:-1] < n]] = True
     before = np.empty(n, bool)

@@ -242,7 +242,6 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- statistics --------------------------------------------------------------
 
-OUTCOME = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "pending").otherwise("ok")
 STATS_SQL = f"""s AS (
     SELECT CASE WHEN grouping(g) = 1 THEN '*' ELSE g END AS grp, count(*)::{L} AS attempted, count_if(o = 'ok')::{L} AS succeeded, count_if(o = 'pending')::{L} AS pending
     FROM (SELECT (user_id % 4)::VARCHAR AS g, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'pending' ELSE 'ok' END AS o FROM events) GROUP BY GROUPING SETS ((), (g))
@@ -250,7 +249,8 @@ STATS_SQL = f"""s AS (
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events", "user_id", "event_type").select((F.col("user_id") % 4).cast("string").alias("grp"), OUTCOME.alias("o"))
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "pending").otherwise("ok")
+    e = read(spark, sf_dir, "events", "user_id", "event_type").select((F.col("user_id") % 4).cast("string").alias("grp"), outcome.alias("o"))
     return stats.detail_stats(e, "grp", "o")
 
 

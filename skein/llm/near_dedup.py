@@ -8,8 +8,9 @@ Within a table a document is paired with one other, never with all: what is
 outside the bucket's largest component with a member of that.  The first round
 takes each document's most frequent partner, the second one partner in each
 foreign component, later ones all, drawn anew in each table and round.  Rounds
-go on where buckets still span several components, until one adds no link.  Each pair is
-confirmed on the full shingle sets.
+go on where buckets still span several components, until one adds no link.  A last round
+then compares all pairs of different components that a bucket still holds, block by block,
+so that no pair of a bucket is left.  Each pair is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SKETCHES, JOINED = 12, 2
 ROUNDS = 5
 #: Minhashes of 8 bits that a pair must agree on, as a share of those expected at the threshold, to be confirmed on full sets (over six standard deviations below).
 SIGNATURE_SHARE = 0.5
+#: Documents of a bucket that the last round compares at a time with as many others.
+BLOCK = 256
 
 
 def _sketch(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +85,46 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(keep)
 
 
+def _across(percent: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks (i, j, members of both) to the pairs of different components whose sizes and signatures allow a link."""
+        for batch in batches:
+            every = batch.column(2)
+            at = every.offsets.to_numpy()
+            names = ("part", "id", "c", "n")
+            for r, (i, j) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                members = every.values.slice(at[r], at[r + 1] - at[r])
+                part, ids, c, n = (members.field(x).to_numpy(zero_copy_only=False) for x in names)
+                sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+                a, b = [], []
+                for x in left:
+                    y = right[(c[right] != c[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+                    if i == j:
+                        y = y[y > x]
+                    y = y[(sig[y] == sig[x]).sum(1) >= least]
+                    a.append(np.minimum(ids[x], ids[y]))
+                    b.append(np.maximum(ids[x], ids[y]))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def _remaining(rows: DataFrame, meta: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b): all pairs of different components within a bucket that may be links."""
+    # Buckets of two were compared; of buckets with the same documents one is enough.
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]
+    open_ = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c1"), F.max("c").alias("c2"), *mark).where("c1 <> c2 AND size > 2")
+    open_ = open_.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))
+    open_ = open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(open_, "key").join(meta, "id")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.groupBy("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("part", "id", "c", "n", "sig")).alias("members"))
+    return rows.select("i", "j", "members").mapInArrow(_across(percent, least), "a long, b long").distinct()
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meta = sigs.select("id", "n", "sig")
     links, tried, rounds = (None if links.isEmpty() else links), None, 0
     component = None
+    k = 2 * SKETCHES * JOINED
+    least = int(k * percent / 100 * SIGNATURE_SHARE)
+    last = False
     while True:
         rows = tables.select("key", "id", F.col("id").alias("c"), F.lit(1).cast("long").alias("size"))
         if component is not None:
@@ -146,36 +192,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = component.join(sizes, "component").select(F.col("node").alias("id"), "component", "size")
             rows = tables.join(known, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
             rows = materialize(rows, "rows")
-        # An end of each bucket that spans several components: a member of its largest one.
-        order = F.xxhash64("id", *([F.lit(rounds)] if rounds < 2 else ["key", F.lit(rounds)])) if rounds else -F.col("id")
-        end = F.struct("size", order.alias("o"), "id", "c")
-        ends = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(end).alias("big")).where("c1 <> c2")
-        ends = materialize(ends.select("key", F.col("big.id").alias("p"), F.col("big.c").alias("pc")), "ends")
-        met = rows.join(ends, "key").where("c <> pc").select("id", "p", "pc")
-        if rounds < 2:
-            # First the partner that shares most tables, then one of each foreign component; from then on all of them.
-            counted = met.groupBy("id", "p", "pc").agg(F.count("*").alias("n"))
-            met = counted.groupBy("id", *(["pc"] if rounds else [])).agg(F.max(F.struct("n", (-F.col("p")).alias("q"))).alias("m")).select("id", (-F.col("m.q")).alias("p"))
-        found = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        found = materialize(found, "found")
-        k = 2 * SKETCHES * JOINED
-        near = (
-            found.join(meta.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-            .join(meta.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .select("a", "b", "sa", "sb", F.lit(int(k * percent / 100 * SIGNATURE_SHARE)).alias("least"))
-            .mapInArrow(_agree, "a long, b long")
-            .distinct()
-        )
-        near = materialize(near, "near")
-        tried = found if tried is None else tried.unionByName(found)
-        discard(ends, rows)
+        if last:
+            near = materialize(_remaining(rows, meta, percent, least).join(tried, ["a", "b"], "left_anti"), "near")
+        else:
+            # An end of each bucket that spans several components: a member of its largest one.
+            order = F.xxhash64("id", *([F.lit(rounds)] if rounds < 2 else ["key", F.lit(rounds)])) if rounds else -F.col("id")
+            end = F.struct("size", order.alias("o"), "id", "c")
+            ends = rows.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(end).alias("big")).where("c1 <> c2")
+            ends = materialize(ends.select("key", F.col("big.id").alias("p"), F.col("big.c").alias("pc")), "ends")
+            met = rows.join(ends, "key").where("c <> pc").select("id", "p", "pc")
+            if rounds < 2:
+                # First the partner that shares most tables, then one of each foreign component; from then on all of them.
+                counted = met.groupBy("id", "p", "pc").agg(F.count("*").alias("n"))
+                met = counted.groupBy("id", *(["pc"] if rounds else [])).agg(F.max(F.struct("n", (-F.col("p")).alias("q"))).alias("m")).select("id", (-F.col("m.q")).alias("p"))
+            found = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+            if tried is not None:
+                found = found.join(tried, ["a", "b"], "left_anti")
+            found = materialize(found, "found")
+            near = (
+                found.join(meta.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+                .join(meta.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+                .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                .select("a", "b", "sa", "sb", F.lit(least).alias("least"))
+                .mapInArrow(_agree, "a long, b long")
+                .distinct()
+            )
+            near = materialize(near, "near")
+            tried = found if tried is None else tried.unionByName(found)
+            discard(ends)
+        discard(rows)
         rounds += 1
         if near.isEmpty():
-            if rounds >= ROUNDS:
+            if last:
                 break
+            last = rounds >= ROUNDS
             continue
         sure = (
             near.join(src.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -186,11 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sure = materialize(sure, "links")
         discard(near)
         if sure.isEmpty():
-            if rounds >= ROUNDS:
+            if last:
                 break
+            last = rounds >= ROUNDS
             continue
         links = sure if links is None else links.unionByName(sure)
         component = connected_components(links, "a", "b")
+        if last:
+            break
     if component is None and links is not None:
         component = connected_components(links, "a", "b")
     discard(tables, reps)

@@ -203,6 +203,17 @@ def test_hot_group_of_near_copies(spark):
     assert got == brute.components(rows)
 
 
+def test_pairs_outside_the_largest_component_of_a_bucket(spark, monkeypatch):
+    """A shared beginning puts all documents into the same buckets; only the pairs are alike enough."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 32, raising=False)
+    base = " ".join(f"t{i}" for i in range(300))
+    text = lambda g, x, own: " ".join([base, *(f"g{g}_{i}" for i in range(80 - own)), *(f"x{x}_{i}" for i in range(own))])
+    rows = [(i, text(0, i, 10)) for i in range(12)] + [(100 + i, text(1 + i // 2, 100 + i, 30)) for i in range(240)]
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    want = brute.components(rows)
+    assert len({c for _, c in want.values()}) == 121 and got == want
+
+
 def test_id_with_two_texts_ties_their_groups(spark):
     a, b = "a b c d e f g h", "p q r s t u v w"
     rows = [(1, a), (2, b), (3, a), (3, b), (4, b)]

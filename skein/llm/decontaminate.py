@@ -2,22 +2,26 @@
 
 A seed is a window of tokens of which a fixed mask ignores some positions, so
 windows that differ there still share its hash.  Training windows are joined to
-benchmark windows on (mask, hash); around each hit the two token sequences are
+benchmark windows on (mask, hash); wherever an overlap meets the rule one of the
+seeds in it is left whole.  Around each hit the two token sequences are
 laid over each other and compared position by position.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Masks: 1 is compared, 0 is ignored.  Fixed values.
-MASKS = ("110111011011", "101101110111")
-SPAN = len(MASKS[0])
+#: Masks: 1 is compared, 0 is ignored.  Fixed values: any two substitutions in WINDOW tokens leave one of these whole at some place.
+MASKS = ("11101011", "11001111")
 #: An overlap counts when some window of so many tokens (or the whole item, if shorter) has at least this share of equal tokens.
 WINDOW, SHARE = 13, 0.8
+#: Tokens of a shorter item -> equal tokens in a row that an overlap has at least; such runs are its seeds.
+RUNS = {m: math.ceil(need / (m - need + 1)) for m in range(1, WINDOW) for need in [math.ceil(round(m * SHARE, 9))]}
 #: Benchmarks of up to so many seeds, some 40 bytes each, are broadcast; larger ones are joined by shuffling.
 BROADCAST_SEEDS = 500_000
 
@@ -27,18 +31,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
 
 
-def _seeds(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` columns with (hash, at): one row for each mask and window."""
+def _seeds(df: DataFrame, keep: list[str], text_col: str, runs: list[int] | None = None) -> DataFrame:
+    """``keep`` columns with (hash, at): one row for each mask and window.  Items
+    have the masks, or runs, of their length; documents those of any item, whose
+    ``runs`` are given."""
     df = df.select(*keep, F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("h"))
-    df = df.where(F.size("h") >= SPAN)
-    places = F.sequence(F.lit(0), F.size("h") - SPAN)
+    n = F.size("h")
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
 
-    def row(k: int, mask: str) -> Column:
+    def row(k: int, mask: str, fits: Column) -> Column:
         on = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(places, lambda p: F.xxhash64(F.lit(k), *(F.get(F.col("h"), p + i) for i in on)))
+        places = F.sequence(F.lit(0), n - len(mask))
+        return F.when(fits, F.transform(places, lambda p: F.struct(p.alias("at"), F.xxhash64(F.lit(k), *(F.get(F.col("h"), p + i) for i in on)).alias("hash")))).otherwise(none)
 
-    df = df.select(*keep, (F.size("h") - SPAN + 1).alias("n"), F.posexplode(F.concat(*(row(k, m) for k, m in enumerate(MASKS)))).alias("i", "hash"))
-    return df.select(*keep, "hash", (F.col("i") % F.col("n")).alias("at"))
+    rows = [row(k, mask, n >= WINDOW) for k, mask in enumerate(MASKS)]
+    for length in sorted(set(RUNS.values())) if runs is None else runs:
+        fits = n.isin([m for m, r in RUNS.items() if r == length]) if runs is None else n >= length
+        rows.append(row(-length, "1" * length, fits))
+    return df.select(*keep, F.explode(F.concat(*rows)).alias("s")).select(*keep, "s.hash", "s.at")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -50,7 +60,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     small = seeds.count() <= BROADCAST_SEEDS
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     theirs = seeds.select("hash", "item", F.col("at").alias("item_at"))
-    hits = _seeds(src, ["id"], "t").join(F.broadcast(theirs) if small else theirs, "hash")
+    sizes = items.select(F.size(tokens(F.col("t"))).alias("m")).where(F.col("m").between(1, WINDOW - 1)).distinct().collect()
+    hits = _seeds(src, ["id"], "t", sorted({RUNS[r["m"]] for r in sizes})).join(F.broadcast(theirs) if small else theirs, "hash")
     places = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
     item_tokens = items.select("item", tokens(F.col("t")).alias("b"))
     places = places.join(F.broadcast(item_tokens) if small else item_tokens, "item")
@@ -76,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``items`` (ids in order, comma-joined), ``best`` (equal tokens of the best
     window, else 0).
 
-    Documents and items of fewer tokens than a seed have no hit.  Null texts
+    Documents and items without tokens have no hit.  Null texts
     count as empty, null item ids are ignored, rows of one id share their
     findings, and so do rows without id.  Other columns are ignored.
     """

@@ -358,6 +358,40 @@ def test_overlaps_agree_with_brute_force(spark, table, sf):
     assert got[90_001][1] and got[90_003][1] and not got[90_004][1]
 
 
+def test_overlaps_are_found_wherever_the_rule_is_met(spark):
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**6))
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 14)} | {40: [f"i40x{k}" for k in range(40)], 50: ["文本没有空格"]}
+    docs = []
+
+    def add(item, places):
+        swapped = [f"s{next(fresh)}" if k in places else w for k, w in enumerate(items[item])]
+        docs.append([f"l{next(fresh)}" for _ in range(int(rng.integers(0, 3)))] + swapped + [f"r{next(fresh)}"])
+
+    for n in range(1, 14):
+        for i in range(n):
+            for j in range(i, n):
+                add(n, {i, j})
+        add(n, ())
+    for every in (4, 5, 6):
+        add(40, set(range(every - 1, 40, every)))
+    docs.append(items[50])
+
+    def want(a, b):
+        w = min(13, len(b))
+        need = -(-4 * w // 5)
+        return any(
+            sum(a[p] == b[p - off] for p in range(s, s + w)) >= need
+            for off in range(-len(b), len(a))
+            for s in range(max(0, off), min(len(a), off + len(b)) - w + 1)
+        )
+
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    got = by_id(decontaminate.contamination(df, benchmark), "items")
+    assert got == {k: (",".join(str(i) for i, b in sorted(items.items()) if want(a, b)),) for k, a in enumerate(docs)}
+
+
 def test_large_benchmarks_are_joined_without_broadcast(spark, table, sf, monkeypatch):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     small = by_id(decontaminate.contamination(table, benchmark), "items")

@@ -3,9 +3,10 @@
 Each word (a space mark and the run up to the next one) is segmented by the
 agenda of BPE: the candidate merge of best score, leftmost first, is taken,
 unless its keyed hash says to skip it.  A skipped candidate is dropped for
-good; later merges next to it make new candidates.  The key holds the seed, a
-lane drawn from the document id, the word and the candidate's place, so results
-don't depend on order, partitions or retries.
+good; later merges next to it make new candidates.  The key holds the seed, the
+document id, the word, its place in the text and the candidate's place in it, so
+each occurrence is dropped for itself and results don't depend on order,
+partitions or retries.
 """
 
 from __future__ import annotations
@@ -236,7 +237,13 @@ class PieceCodec:
         end = np.append(start[1:], n)
         hashes = prefix_hashes(points + np.uint32(1), start, end)
         lane = np.repeat(np.array(lanes, np.int64), np.diff(np.searchsorted(start, first)))
-        key = self._keys(hashes, lane)
+        if self.dropout:
+            # Each occurrence has a key of its own: nothing to keep for the next batch.
+            self._forget()
+            place = (start - np.repeat(first[:-1], np.diff(np.searchsorted(start, first)))).astype(np.uint64)
+            key = mix(self._keys(hashes, lane) + place * np.uint64(0x9FB21C651E98DF25))
+        else:
+            key = self._keys(hashes, np.zeros(len(start), np.int64))
         alone = literal[start]
         key[alone] = LITERAL
         uniq, at, back = np.unique(key, return_index=True, return_inverse=True)
@@ -308,23 +315,23 @@ def codec(path: str, dropout: float, seed: int, lanes: int) -> PieceCodec:
     return PieceCodec(path, dropout, seed, lanes)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, dropout: float = 0.1, seed: int = 1, lanes: int = 2) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (array of int), ``n_tokens``,
     ``lossless`` (decoding gives the text back, byte for byte).
 
     A null text has null ``ids``, 0 tokens and is lossless; an empty one has no
-    ids.  A null id takes lane 0.  Other columns are ignored.
+    ids.  Rows without id share a key.  Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, dropout, seed, lanes)
+        c = codec(path, dropout, seed, 1)
         for batch in batches:
             raw, off = column(batch.column(1))
             null = batch.column(1).is_null().to_pylist()
             doc_ids = batch.column(0).to_pylist()
             for i, j in pieces(off, BATCH_BYTES):
                 data, at = raw[off[i] : off[j]].tobytes(), (off[i : j + 1] - off[i]).tolist()
-                lane = [0 if x is None else xxhash.xxh3_64_intdigest(str(x).encode(), seed) % lanes for x in doc_ids[i:j]]
+                lane = [0 if x is None else xxhash.xxh3_64_intdigest(str(x).encode(), seed) >> 1 for x in doc_ids[i:j]]
                 ids, sizes = c.encode_batch([data[a:b].decode() for a, b in zip(at, at[1:], strict=False)], lane)
                 span = np.concatenate(([0], np.cumsum(c.byte_len[ids])))[sizes].tolist()
                 back = c.bytes_from(ids)

@@ -331,6 +331,23 @@ def test_dropout_is_keyed_and_agrees_with_the_agenda(spark, table):
         assert tuple(k.pool[s >> 24 : (s >> 24) + (s & 0xFFFFFF)].tolist()) == k._segment("▁" + str(w), int(x))
 
 
+def test_dropout_varies_between_documents_and_within_one(spark):
+    path = P.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(i, " ".join(["internationalization"] * 60)) for i in range(8)], "doc_id long, text string")
+    ids = [x for (x,) in by_id(piece_codec.encode(df, path, dropout=0.3), "ids").values()]
+    assert len({tuple(x) for x in ids}) == 8
+    bytes_of = piece_codec.codec(path, 0.0, 1, 1).bytes_of
+    for x in ids:
+        words, n = [[]], 0
+        for i in x:
+            words[-1].append(i)
+            n += len(bytes_of[i])
+            if n == 21:
+                words.append([])
+                n = 0
+        assert len({tuple(w) for w in words if w}) > 5
+
+
 # --- 6, 8 and 9 --------------------------------------------------------------
 
 

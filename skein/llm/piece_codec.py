@@ -34,8 +34,8 @@ WIDTHS, TOGETHER = (6, 9, 12, 18, 32, 64), 20_000
 NONE, FREE, HASH = (1 << 31) - 1, -(1 << 62), 0x9E3779B97F4A7C15
 #: The cache's key of a literal U+2581.
 LITERAL = 0
-#: Runs longer than this many code points are segmented in spans of this size; a BPE piece is far shorter.
-SPAN = 4096
+#: Multipliers of a candidate's start, middle and end in its key, for runs of any length.
+PLACES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
 
 class PieceCodec:
@@ -109,7 +109,8 @@ class PieceCodec:
         return np.where(self.slot[at] == key, self.slot_rank[at], NONE).astype(np.int32)
 
     def _skipped(self, key: np.ndarray, i: np.ndarray, m: np.ndarray, e: np.ndarray) -> np.ndarray:
-        h = (key ^ (i.astype(np.int64) << 40 | m.astype(np.int64) << 20 | e).astype(np.uint64)) * np.uint64(HASH)
+        at = sum(x.astype(np.uint64) * np.uint64(p) for x, p in zip((i, m, e), PLACES, strict=True))
+        h = (key ^ at) * np.uint64(HASH)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h >> np.uint64(32)) < np.uint64(self.dropout)
 
@@ -174,8 +175,6 @@ class PieceCodec:
     def _segment(self, word: str, key: int) -> tuple[int, ...]:
         """The agenda for one word, as a heap."""
         n = len(word)
-        if n > SPAN:
-            return tuple(x for i in range(0, n, SPAN) for x in self._segment(word[i : i + SPAN], key + i & (1 << 64) - 1))
         order = self.order
         right = list(range(1, n + 1))  # end of the symbol that starts here
         left = list(range(-1, n - 1))  # start of the symbol before
@@ -186,13 +185,14 @@ class PieceCodec:
                 agenda.append((r, i, i + 1, i + 2))
         if agenda:
             drop = self.dropout
+            p1, p2, p3 = PLACES
             heapify(agenda)
             while agenda:
                 _, i, m, e = heappop(agenda)
                 if right[i] != m or m >= n or right[m] != e:
                     continue  # one of its symbols is gone
                 if drop:
-                    h = ((key ^ (i << 40 | m << 20 | e)) * HASH) & 0xFFFFFFFFFFFFFFFF
+                    h = ((key ^ (i * p1 + m * p2 + e * p3 & 0xFFFFFFFFFFFFFFFF)) * HASH) & 0xFFFFFFFFFFFFFFFF
                     h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
                     if h >> 32 < drop:
                         continue

@@ -312,6 +312,18 @@ def test_pieces_without_dropout_are_the_library_s(table):
         assert ids[at[k] : at[k + 1]].tolist() == sp.encode(t)
 
 
+def test_long_runs_without_spaces_are_the_library_s():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    c = piece_codec.codec(P.path("piece_bpe_32k.model"), 0.0, 1, 1)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("etaoinshrdlu"), 6000)) for _ in range(20)] + ["漢字かな交じり文" * 1000, "ab" * 60_000]
+    assert [c.encode(t) for t in texts] == [sp.encode(t) for t in texts]
+    dropped = piece_codec.codec(P.path("piece_bpe_32k.model"), 0.3, 1, 1)
+    assert all(dropped.decode(dropped.encode(t)) == t for t in texts)
+
+
 def test_dropout_is_keyed_and_agrees_with_the_agenda(spark, table):
     path = P.path("piece_bpe_32k.model")
     run = lambda seed, p: by_id(piece_codec.encode(table, path, seed=seed, dropout=p).repartition(3), "n_tokens", "lossless", "ids")

@@ -99,7 +99,7 @@ def split_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("normalize_lines", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: {sql_trim("regexp_replace(x, '[ \\t]+', ' ', 'g')")}), lambda x: x <> ''), '⏎') AS joined FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}\\x{{a0}}\\x{{2000}}-\\x{{200f}}\\x{{3000}}\\x{{feff}}]')")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents", "doc_id", "text").where(~F.col("text").rlike(r"[\r\x0b\x0c\x1c-\x1e\x85    -‏　﻿]"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", F.array_join(T.lines("text"), "⏎").alias("joined"))
 
 

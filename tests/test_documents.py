@@ -161,3 +161,13 @@ def test_stateful_stream(spark, tmp_path):
         q = dedupe.dedupe_stateful(spark.readStream.schema("source_key string, post_id string").parquet(str(tmp_path / "in")), "source_key", "post_id").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(r["post_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_normalize_lines_keeps_documents_with_odd_breaks_and_spaces(spark, tmp_path):
+    from skein.plans import catalogue
+
+    rows = [(1, "a\r\nb\rc\x0bd\x0ce"), (2, "a\x1cb\x1dc\x1ed\x85e\u2028f\u2029g"), (3, " a\u00a0b\u2003 c\u3000\n\ufeffd\u200be "), (4, None), (5, "plain\n\n text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["joined"] for r in catalogue.queries()["normalize_lines"](spark, str(tmp_path)).collect()}
+    want = {1: "a⏎b⏎c⏎d⏎e", 2: "a⏎b⏎c⏎d⏎e⏎f⏎g", 3: "a b c⏎de", 4: "", 5: "plain⏎text"}
+    assert got == want

@@ -455,14 +455,23 @@ def summarize_stub_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summaries(spark, sf_dir, 25)
 
 
-@register("digest_html", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents WHERE doc_id < 200 GROUP BY 1")
-def digest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents", "doc_id", "source", "n_chars").where("doc_id < 200")
+def _digest(d: DataFrame) -> DataFrame:
     i = F.col("doc_id").cast("string")
     cards = d.select(F.col("source").alias("source_key"), "doc_id", render.card(i, F.concat(F.lit("/d/"), i), F.lit(""), F.lit("body"), F.col("n_chars").cast("string")).alias("card"))
     return render.html_blocks(cards, "source_key", "doc_id", "card")
 
 
+@register("digest_html", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents WHERE doc_id < 200 GROUP BY 1")
+def digest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(read(spark, sf_dir, "documents", "doc_id", "source", "n_chars").where("doc_id < 200"))
+
+
+@register("digest_html_all", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents GROUP BY 1")
+def digest_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document."""
+    return _digest(read(spark, sf_dir, "documents", "doc_id", "source", "n_chars"))
+
+
 @register("stream_seen_dedupe", "SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def stream_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each (type, user), found by a stream in one available-now run."""

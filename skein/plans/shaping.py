@@ -153,6 +153,13 @@ def date_label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", D.whole_date(D.strip_label("s", ["등록일", "등록일자", "게시일"])).alias("iso"))
 
 
+@register("date_label_strip_all", f"SELECT id, CASE WHEN k IN (0, 1, 2) THEN y || '-' || m || '-' || d ELSE '' END AS iso FROM ({PARTS_SQL})")
+def date_label_strip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels before every form, over all orders."""
+    s = _dated(spark, sf_dir).withColumn("s", F.concat(F.lit("등록일자 : "), "s"))
+    return s.select("id", D.whole_date(D.strip_label("s", ["등록일", "등록일자", "게시일"])).alias("iso"))
+
+
 @register("epoch_ms_iso", "SELECT event_id, strftime(make_timestamp((event_id * 86400017)::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(((event_id * 86400017) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM events")
 def epoch_ms_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events", "event_id").select("event_id", D.epoch_ms_iso(F.col("event_id") * 86400017).alias("iso"))

@@ -306,7 +306,7 @@ def js_report_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("json_first_nonempty", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' || event_id END, ''), json_extract_string(props, '$.k'), '') AS picked FROM events")
 def json_first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events", "event_id", "props")
-    j = F.concat(F.lit('{"name":"'), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))), F.lit('",'), F.substring("props", 2, 10000))
+    j = F.concat(F.lit('{"name":"'), F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))), F.lit('",'), F.expr("substring(props, 2)"))
     return e.select("event_id", J.pick(j, ["gone", "name", "k"]).alias("picked"))
 
 

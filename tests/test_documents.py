@@ -181,3 +181,12 @@ def test_digest_html_all_has_every_document(spark, tmp_path):
     got = {r["source_key"]: r["block"] for r in catalogue.queries()["digest_html_all"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ["s0", "s1", "s2"]
     assert all(b.startswith(f"<h2>{k} (150)</h2>") and b.count("<li>") == 150 for k, b in got.items())
+
+
+def test_json_first_nonempty_reads_long_props(spark, tmp_path):
+    from skein.plans import catalogue
+
+    rows = [(2, json.dumps({"pad": "p" * 12_000, "k": "kept"})), (3, json.dumps({"pad": "p" * 12_000, "k": "other"})), (4, '{"k":"short"}')]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["picked"] for r in catalogue.queries()["json_first_nonempty"](spark, str(tmp_path)).collect()}
+    assert got == {2: "kept", 3: "x3", 4: "short"}

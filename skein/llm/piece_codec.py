@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectext import column, mix, pieces, prefix_hashes, spread
+from .vectext import column, mix, pieces, run_hashes, spread
 
 MARK = "▁"
 #: Bytes of text whose words are segmented together.
@@ -235,7 +235,7 @@ class PieceCodec:
         begins[first[:-1]] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], n)
-        hashes = prefix_hashes(points + np.uint32(1), start, end)
+        hashes = run_hashes(points, start, end)
         lane = np.repeat(np.array(lanes, np.int64), np.diff(np.searchsorted(start, first)))
         if self.dropout:
             # Each occurrence has a key of its own: nothing to keep for the next batch.

@@ -1,19 +1,17 @@
 """Vectorised word and shingle hashing over Arrow string columns (numpy).
 
-A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Word hashes are
-polynomial hashes modulo 2^64 taken from prefix sums, then mixed.
+A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A word's hash is the
+sum of a pseudo-random 64-bit value for each (place, byte), mixed with its
+length: two different words differ in a value that nothing else cancels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _SLOTS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
                    0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -27,12 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Values of (place, byte) of the first places, looked up; later ones are computed.
+_PLACES = 32
+_TABLE = mix(np.arange(_PLACES << 8, dtype=np.uint64) + np.uint64(1))
 
 
 def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +53,23 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def prefix_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the runs [start, end) of positive integers."""
-    n = len(values)
-    up, down = _powers(max(21, int(n + 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [start, end) of unsigned integers below 2^32; runs don't overlap."""
+    size = ends - starts
+    at = spread(starts, size)
+    place = at - np.repeat(starts, size)
+    if values.dtype == np.uint8:
+        key = np.minimum(place, _PLACES - 1) << 8 | values[at]
+        parts = _TABLE[key]
+        far = np.flatnonzero(place >= _PLACES)
+        if len(far):
+            parts[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | values[at[far]]) + np.uint64(1))
+    else:
+        parts = mix((place.astype(np.uint64) << np.uint64(32) | values[at]) + np.uint64(1))
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(parts, out=sums[1:])
+    last = np.cumsum(size)
+    return mix(sums[last] - sums[last - size] + size.astype(np.uint64))
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.
     after[-1], after[:-1] = False, solid[1:]
     edge[n] = True
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    return prefix_hashes(low.astype(np.uint64) + np.uint64(1), starts, ends), np.searchsorted(starts, offsets), ends - starts
+    return run_hashes(low, starts, ends), np.searchsorted(starts, offsets), ends - starts
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -337,7 +337,7 @@ def test_dropout_is_keyed_and_agrees_with_the_agenda(spark, table):
     points = np.frombuffer("".join("▁" + str(w) for w in words).encode("utf-32-le"), np.uint32)
     size = np.array([len(w) + 1 for w in words])
     start = np.cumsum(size) - size
-    key = k._keys(piece_codec.prefix_hashes(points + np.uint32(1), start, start + size), np.zeros(len(words), np.int64))
+    key = k._keys(piece_codec.run_hashes(points, start, start + size), np.zeros(len(words), np.int64))
     slots = k._learn(points, start, start + size, key)
     for w, x, s in zip(words, key, slots, strict=True):
         assert tuple(k.pool[s >> 24 : (s >> 24) + (s & 0xFFFFFF)].tolist()) == k._segment("▁" + str(w), int(x))
@@ -459,6 +459,29 @@ def test_words_and_shingles(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_word_hashes_have_no_structural_collisions():
+    import pyarrow as pa
+
+    words = []
+    for n in (10, 11, 12):
+        a = "a"
+        for _ in range(n):
+            a += a.translate(str.maketrans("ab", "ba"))
+        words += [a, a.translate(str.maketrans("ab", "ba"))]
+    words += ["a" * n for n in range(1, 80)] + ["a" * n + "b" + "a" * (79 - n) for n in range(80)]
+    raw, off = vectext.column(pa.array([" ".join(words)], pa.string()))
+    hashes, _, _ = vectext.words(raw, off)
+    assert len(set(hashes.tolist())) == len(words)
+    path = P.path("piece_bpe_32k.model")
+    codec, many = piece_codec.PieceCodec(path, 0.0), [w for w in words if len(w) > 1000]
+    ids, at = codec.encode_batch([" ".join(many)], [0])
+    assert codec.decode(ids.tolist()) == " ".join(many)
+    points = np.frombuffer("".join(many).encode("utf-32-le"), np.uint32)
+    size = np.array([len(w) for w in many])
+    start = np.cumsum(size) - size
+    assert len(set(vectext.run_hashes(points, start, start + size).tolist())) == len(many)
+
+
 def test_pipeline_against_brute_force(spark, sf, table):
     import corpus_pipeline
 

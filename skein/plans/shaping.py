@@ -442,7 +442,7 @@ def excerpt_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("excerpt_full")
 def excerpt_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = excerpt.excerpt_udf()
-    d = read(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), run("text", F.lit("")).alias("excerpt"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), run("text", F.substring_index("text", "\n", 1)).alias("excerpt"))
     p = read(spark, sf_dir, "pages", "page_id", "url", "html").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), run("html", "url").alias("excerpt"))
     return d.unionByName(p)
 

@@ -261,7 +261,13 @@ def decode(data: bytes | None, declared: str | None) -> str:
 
 def unescape_closed(text: str) -> str:
     """Only entities that end with a semicolon are decoded."""
-    return re.sub(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", lambda m: _html.unescape(m.group(0)), text)
+    before, *parts = text.split("&")
+    out = [before]
+    for part in parts:
+        name, closed, rest = part.partition(";")
+        entity = closed and len(name) <= 32 and name.isascii() and name.removeprefix("#").isalnum()
+        out.append(_html.unescape(f"&{name};") + rest if entity else "&" + part)
+    return "".join(out)
 
 
 ParserFn = Callable[[str | None, str], list[dict]]

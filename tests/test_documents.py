@@ -71,6 +71,63 @@ def test_excerpt(body, title, want):
     assert E.excerpt(body, title) == want
 
 
+BODY = "금융위원회는 외부감사 및 회계 등에 관한 규정 개정안을 입법예고한다고 밝혔다."
+
+
+@pytest.mark.parametrize("heading", ["추진배경", "기대효과", "추진 성과", "신청"])
+@pytest.mark.parametrize("label", ["담당자", "담당부서", "작성자"])
+def test_heading_below_a_lone_label_is_content(label, heading):
+    assert E.excerpt(f"{label}\n{heading}\n{BODY}", "규정") == f"{heading} {BODY}"
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        "등록일\n2026. 7. 24.",
+        "담당자\n홍길동 사무관",
+        "연락처\n(02) 2100-2600",
+        "등록일\n2026-07-24 (금) 09:30",
+        "첨부파일\n보도자료.hwp (188 KB)\n1. 공고문 입법예고.hwpx",
+        "첨부파일: report.pdf (10 MB)",
+        "담당부서\n담당자\n연락처\n02-2100-2600\n조회수\n1,234",
+        "문의 : 금융위원회 은행과 (02-2100-2000)",
+        "홈 > 알림마당 > 보도자료",
+        "이 자료는 배포 즉시 보도할 수 있습니다.",
+        "브라우저 설정에서 자바스크립트를 활성화해 주세요.",
+        "이전글 : 은행법 시행령 개정안",
+    ],
+)
+def test_noise_goes_from_both_ends_but_not_from_between(noise):
+    assert E.excerpt(f"{noise}\n{BODY}") == BODY
+    assert E.excerpt(f"{BODY}\n{noise}") == BODY
+    between = E.excerpt(f"{BODY}\n{noise}\n{BODY}", limit=10**6)
+    assert between == " ".join([BODY, *noise.split("\n"), BODY])
+
+
+def test_department_counts_as_a_value_only_beside_another_label():
+    assert E.excerpt(f"담당부서\n금융투자검사3국\n등록일\n2026. 7. 24.\n{BODY}") == BODY
+    assert E.excerpt(f"{BODY}\n등록일\n담당부서\n금융투자검사3국") == BODY
+    assert E.excerpt(f"{BODY}\n담당부서\n금융투자검사3국") == f"{BODY} 담당부서 금융투자검사3국"
+
+
+@pytest.mark.parametrize("line", ["자바스크립트 사용 여부를 점검하도록 규정하였다.", "제출 파일은 report.pdf (10 MB)", "신청 서식: 금융지원신청서.hwp", "담당부서 : 대출한도를 1억원으로 상향한다", "온라인 광고에는 자료의 출처를 표기해야 한다."])
+def test_content_that_looks_like_noise_stays(line):
+    assert E.excerpt(f"{line}\n{BODY}") == f"{line} {BODY}"
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("수익률 3.5% 기록", "수익률 - 3.5% 기록", False), ("실적 2026724 발표", "실적 2026. 7. 24. 발표", False), ("자산 < 10억원", "자산 > 10억원", False), ("개정안 - 규정.", "[개정안 규정]", True)])
+def test_title_keys(a, b, same):
+    assert (E.title_key(a) == E.title_key(b)) == same
+
+
+def test_markup_is_told_from_text():
+    for text in ("<p>a</p>", " <DIV a=1>q<b>r</b></DIV > ", "x <body> y", "<!DOCTYPE html><p>x"):
+        assert E.looks_like_markup(text)
+    for text in ("use <br> tag", "<div>x</div> y", "<p>a", "", "<붙임> a"):
+        assert not E.looks_like_markup(text)
+    assert H.unescape_closed("a&amp;b&copy=1&#44032;&;&bogus;&lt;") == "a&b&copy=1가&;&bogus;<"
+
+
 def test_batches_of_summaries():
     items = [(str(i), f"Text {i}. More. End.") for i in range(4)]
     assert M.summarise_items(items, M.stub(3), 3, 200)["2"] == ["Text 2.", "More.", "End."]

@@ -2,46 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def _fold(df: DataFrame, by: str, order: str, value: str, out: str, kind: str, arrow: pa.DataType, begin: Callable[[], list], step: Callable[[list, int | None], object]) -> DataFrame:
+    """(by, order, value, ``out``): ``step(state, value)`` of each row, in order of
+    (order, value) within ``by``.  A group is read as a sorted stream, in one
+    task, as its fold is sequential by nature; only the state is held."""
+    rows = df.select(by, order, F.col(value).cast("long").alias(value))
+    names = [by, order, value, out]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), []
+        for batch in batches:
+            made = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, begin()
+                made.append(step(state, x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=names)
 
-def _ordered(df: DataFrame, by: str, order: str, *values: str) -> DataFrame:
-    """One array of (order, values) a group: a group must fit a task, as its fold is sequential by nature."""
-    return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_rows"))
+    schema = StructType([*rows.schema.fields]).add(out, kind)
+    return rows.repartition(by).sortWithinPartitions(by, order, value).mapInArrow(run, schema)
 
 
 def greedy_batches(df: DataFrame, by: str, order: str, size: str, most_rows: int, most_size: int) -> DataFrame:
     """(by, order, batch): rows packed in order.  A batch is closed when it has
     ``most_rows`` rows or the next row would exceed ``most_size``; a row larger
-    than that is a batch alone.  Batches count from 0 within ``by``."""
-    rows = _ordered(df, by, order, size)
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<int>)").alias("out"))
+    than that is a batch alone.  Batches count from 0 within ``by``.  A null
+    size counts as 0."""
 
-    def step(acc: Column, x: Column) -> Column:
-        s = x[size].cast("long")
-        full = (acc["n"] > 0) & ((acc["n"] >= max(1, most_rows)) | (acc["used"] + s > most_size))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, s).otherwise(acc["used"] + s).alias("used"), F.array_append(acc["out"], batch).alias("out"))
+    def step(state: list, x: int | None) -> int:
+        batch, n, used = state
+        x = x or 0
+        if n and (n >= max(1, most_rows) or used + x > most_size):
+            batch, n, used = batch + 1, 0, 0
+        state[:] = batch, n + 1, used + x
+        return batch
 
-    packed = rows.withColumn("_batch", F.aggregate("_rows", start, step, lambda a: a["out"]))
-    return packed.select(by, F.explode(F.arrays_zip("_rows", "_batch")).alias("_x")).select(by, F.col(f"_x._rows.{order}").alias(order), F.col("_x._batch").alias("batch"))
+    return _fold(df, by, order, size, "batch", "integer", pa.int32(), lambda: [0, 0, 0], step).drop(size)
 
 
 def first_fit(df: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
     """(by, order, size, included): a row is included if its size is positive and still fits; others are passed over."""
-    rows = _ordered(df, by, order, size)
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.expr("cast(array() as array<boolean>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = x[size].cast("long")
-        fits = F.coalesce((s > 0) & (s <= acc["left"]), F.lit(False))
-        return F.struct(F.when(fits, acc["left"] - s).otherwise(acc["left"]).alias("left"), F.array_append(acc["out"], fits).alias("out"))
+    def step(state: list, x: int | None) -> bool:
+        fits = x is not None and 0 < x <= state[0]
+        state[0] -= x if fits else 0
+        return fits
 
-    done = rows.withColumn("_fits", F.aggregate("_rows", start, step, lambda a: a["out"]))
-    x = done.select(by, F.explode(F.arrays_zip("_rows", "_fits")).alias("_x"))
-    return x.select(by, F.col(f"_x._rows.{order}").alias(order), F.col(f"_x._rows.{size}").alias(size), F.col("_x._fits").alias("included"))
+    return _fold(df, by, order, size, "included", "boolean", pa.bool_(), lambda: [budget], step)
 
 
 def circuit_breaker(df: DataFrame, by: str, order: str, failed: Column, limit: int) -> DataFrame:

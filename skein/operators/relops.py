@@ -58,6 +58,25 @@ def newest(df: DataFrame, keys: Keys, order: Sequence[Column | str], cap: int) -
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= cap).drop("_rn")
 
 
+#: Values of the order column that are ranked together.
+BAND = 1 << 16
+
+
+def ranked(df: DataFrame, key: str, order: str, name: str, band: int = BAND) -> DataFrame:
+    """Adds ``name``, from 1: the row's place within its key by falling ``order``, a whole number.
+
+    Bands of ``order`` are ranked each for itself, and moved by the number of
+    rows in the bands above, so that a key with most of the rows is divided.
+    """
+    df = df.withColumn("_band", F.coalesce(F.floor(F.col(order) / band), F.lit(-(1 << 62))))
+    above = F.sum("_n").over(W.partitionBy(key).orderBy(F.desc("_band")).rowsBetween(W.unboundedPreceding, -1))
+    counts = df.groupBy(key, "_band").agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col(key).alias("_key"), F.col("_band").alias("_at"), F.coalesce(above, F.lit(0)).alias("_above"))
+    df = df.withColumn("_rn", F.row_number().over(W.partitionBy(key, "_band").orderBy(F.desc(order))))
+    df = df.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_band") == F.col("_at")))
+    return df.withColumn(name, F.col("_rn") + F.col("_above")).drop("_band", "_rn", "_key", "_at", "_above")
+
+
 def round_robin(df: DataFrame, group: str, group_order: Column | str, order: Sequence[Column | str], cap: int | None = None, name: str = "turn") -> DataFrame:
     """Rows in turn, one of each group after another: adds (``name``, group
     order) as sort keys; with ``cap`` keeps the first so many overall.

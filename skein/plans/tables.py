@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.relops import ranked
+
 #: Rows of a listing page; ids with ``doc_id % 5`` below this are seen already.
 PAGE, SEEN_BELOW = 10, 3
 
@@ -28,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 def posts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents as posts, newest (largest id) first within a source, in pages of ``PAGE``."""
     df = read(spark, sf_dir, "documents", "source", "doc_id", *columns).withColumnRenamed("source", "source_key")
-    df = df.withColumn("pos", F.row_number().over(W.partitionBy("source_key").orderBy(F.desc("doc_id"))))
+    df = ranked(df, "source_key", "doc_id", "pos")
     return df.withColumn("page", F.floor((F.col("pos") - 1) / PAGE).cast("int") + 1)
 
 

@@ -68,3 +68,32 @@ def body_shape(body: Column | str) -> Column:
     keys = F.array_join(F.array_sort(F.json_object_keys(s)), ",")
     form = F.array_join(F.array_sort(F.transform(F.split(s, "&", -1), lambda p: F.regexp_extract(p, "^([^=]*)=", 1))), ",")
     return F.when(s == "", "absent").when(s.startswith("{") & F.json_object_keys(s).isNotNull(), F.concat(F.lit("json:"), keys)).when(s.rlike("^[^&=]+=[^&]*(?:&[^&=]+=[^&]*)*$"), F.concat(F.lit("form:"), form)).otherwise(F.concat(F.lit("raw:"), F.length(s).cast("string")))
+
+
+def key_listing(j: Column | str) -> Column:
+    """The names of an object's members, sorted and comma-joined; empty if it isn't one."""
+    return F.coalesce(F.array_join(F.array_sort(F.json_object_keys(text(j))), ","), F.lit(""))
+
+
+def names_only(j: Column | str) -> Column:
+    """A JSON list of an object's member names, without any value."""
+    return F.to_json(F.coalesce(F.array_sort(F.json_object_keys(text(j))), F.expr("cast(array() as array<string>)")))
+
+
+def error_fields(body: Column | str) -> Column:
+    """(status, message) of ``{"error": {...}}``; of a body that isn't JSON, no status and its first 200 characters."""
+    s = text(body)
+    json = F.try_parse_json(s).isNotNull()
+    value = lambda name: F.coalesce(F.get_json_object(s, f"$.error.{name}"), F.lit(""))
+    return F.struct(F.when(json, value("status")).otherwise("").alias("status"), F.when(json, value("message")).otherwise(F.substring(s, 1, 200)).alias("message"))
+
+
+def metadata(body: Column | str, names: Sequence[str] = ("workflow_run_id", "run_url", "html_url")) -> Column:
+    """The members of an object that are in ``names``, as text; empty for anything else."""
+    made = F.from_json(F.when(text(body).rlike(r"^\s*\{"), text(body)), "map<string,string>")
+    return F.map_filter(F.coalesce(made, F.expr("cast(map() as map<string,string>)")), lambda k, v: k.isin(list(names)))
+
+
+def body_kind(body: Column | str, mime: Column | str) -> Column:
+    """json by MIME type or by its first character, else html."""
+    return F.when(F.lower(text(mime)).contains("json") | F.ltrim(text(body)).rlike(r"^[{\[]"), "json").otherwise("html")

@@ -132,3 +132,22 @@ def dispatch_url(base: str, *parts: Column) -> Column:
     """A path whose components are percent-encoded."""
     enc = lambda c: F.replace(F.url_encode(text(c)), F.lit("+"), F.lit("%20"))
     return F.concat(F.lit(base), F.concat_ws("/", *(enc(col(p)) for p in parts)))
+
+
+def redact_attribute(value: Column | str, hints: Sequence[str], public: Sequence[str], mark: str = "REDACTED") -> Column:
+    """A URL attribute: by parameter names only if it has parameters, else only by values."""
+    s = text(value)
+    return F.when(F.instr(s, "?") > 0, redact_params(s, hints, public, mark)).otherwise(redact_values(s, mark))
+
+
+def redact_free_text(c: Column | str, hints: Sequence[str], public: Sequence[str], mark: str = "REDACTED") -> Column:
+    """Text with URLs in it: each by its parameters, and the rest by values."""
+    url = r"https?://[^\s\"'<>]+"
+    found, between = F.regexp_extract_all(text(c), F.lit(url), F.lit(0)), F.split(text(c), url, -1)
+    pairs = F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(redact_params(b, hints, public, mark), F.lit(""))))
+    return redact_values(F.array_join(pairs, ""), mark)
+
+
+def script_endpoints(js: Column | str, ending: str = r"\.do") -> Column:
+    """Quoted URL paths of a script with this ending, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text(js), F.lit(rf"[\"'](/?[A-Za-z0-9_/.-]+{ending})[\"'?]"), F.lit(1))))

@@ -408,4 +408,4 @@ def digest_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.text_blocks(top.select("source_key", (-F.col("doc_id")).alias("pos"), T.truncate(T.squish("text"), 40).alias("line")), n, "source_key", "pos", "line")
 
 
-from . import shaping  # noqa: E402, F401  registers part 2
+from . import details, shaping  # noqa: E402, F401  register parts 2 and 3

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .sources import http_pages
+
 
 def session(app: str = "skein", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC, legacy charsets (for ``decode``
-    with EUC-KR) and the RocksDB state store.  ``conf`` keys use ``__`` for dots."""
+    with EUC-KR), the RocksDB state store and the format ``http_pages``.  ``conf``
+    keys use ``__`` for dots."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -21,4 +24,6 @@ def session(app: str = "skein", master: str | None = None, **conf: str) -> Spark
     }
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    http_pages.register(spark)
+    return spark

@@ -114,11 +114,53 @@ def parse(text: str | None) -> Node:
     return b.root
 
 
+def _fits(node: Node, simple: str) -> bool:
+    """A simple selector: tag, .class and #id, one after another."""
+    tag, *rest = re.split(r"(?=[.#])", simple)
+    marks = all(x[1:] in node.classes if x[0] == "." else node.attrs.get("id") == x[1:] for x in rest)
+    return marks and (not tag or node.tag == tag)
+
+
+def select(root: Node, selector: str) -> list[Node]:
+    """Elements in document order by simple selectors parted by spaces: each within the one before."""
+    *outer, last = selector.split()
+    out = []
+    for node in root.walk():
+        if node is root or not _fits(node, last):
+            continue
+        left = list(outer)
+        for a in node.ancestors():
+            if left and _fits(a, left[-1]):
+                left.pop()
+        if not left:
+            out.append(node)
+    return out
+
+
+def first_of(root: Node, selectors: tuple[str, ...]) -> Node | None:
+    """The first element of the first selector that has any."""
+    return next((found[0] for s in selectors if (found := select(root, s))), None)
+
+
+def form_with(page: str | None, field_name: str) -> str:
+    """The id of the first form that has an input of this name; empty without one."""
+    for form in parse(page).find_all("form"):
+        if any(n.attrs.get("name") == field_name for n in form.find_all("input")):
+            return form.attrs.get("id", "")
+    return ""
+
+
+def longest_text(page: str | None, tags: tuple[str, ...] = ("pre", "td", "div", "p"), least: int = 20) -> str:
+    """The longest text of a container of at least so many characters."""
+    texts = [clean(n.text()) for n in parse(page).find_all(*tags)]
+    return max((t for t in texts if len(t) >= least), key=len, default="")
+
+
 def clean(s: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", s or "")).strip()
 
 
-def _file_name(a: Node, url: str, default: str) -> str:
+def file_name(a: Node, url: str, default: str) -> str:
     names = [n for n in a.find_all("span") if "name" in n.classes]
     name = clean((names[0].text() if names else "") or a.attrs.get("title", ""))
     if name:
@@ -184,7 +226,7 @@ def table_rows(page: str | None, base: str, hints: tuple[str, ...] = ("filedown"
                 to = urljoin(base, a.attrs["href"])
                 if to not in met:
                     met.add(to)
-                    files.append(f"{_file_name(a, to, 'attachment')}={to}")
+                    files.append(f"{file_name(a, to, 'attachment')}={to}")
         if title:
             out.append({"pos": len(out), "title": title, "url": url, "text": clean(row.text(" ")), "files": ";".join(files)})
     return out

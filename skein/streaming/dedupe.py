@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -16,29 +17,38 @@ from ..schema import SEEN_CAP
 
 
 def _work_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="skein-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def first_seen_stream(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
     """The earliest row, by ``order``, of each key of a Parquet table read as a
-    stream: a running aggregate in the state store, in complete mode at the end."""
+    stream: a running aggregate in the state store.  A batch writes the keys
+    that it changed; of these versions the earliest counts."""
     work = _work_dir(spark)
     schema = spark.read.parquet(path).schema
     # A file source lists a folder: a table of one file is named by a pattern.
-    found = path if not path.endswith(".parquet") or _is_folder(spark, path) else path.replace("events.parquet", "event[s].parquet")
+    found = path if _is_folder(spark, path) else f"{path[:-1]}[{path[-1]}]"
     stream = spark.readStream.schema(schema).parquet(found).select(*keys, order)
-    out: dict[str, str] = {}
 
     def keep(df: DataFrame, batch: int) -> None:
-        out["path"] = f"{work}/out-{batch}"
-        df.write.mode("overwrite").parquet(out["path"])
+        df.write.mode("overwrite").parquet(f"{work}/out/batch={batch}")
 
-    q = stream.groupBy(*keys).agg(F.min(order).alias(order)).writeStream.outputMode("complete").option("checkpointLocation", f"{work}/ck").trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.groupBy(*keys).agg(F.min(order).alias(order)).writeStream.outputMode("update").option("checkpointLocation", f"{work}/ck").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    if "path" not in out:
-        return spark.read.parquet(path).select(*keys, order).limit(0)
-    return spark.read.parquet(out["path"])
+    kept = spark.read.parquet(path).select(*keys, order)
+    if not _exists(spark, f"{work}/out"):
+        return kept.limit(0)
+    return spark.read.schema(kept.schema).parquet(f"{work}/out/batch=*").groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -1,17 +1,20 @@
 """ARC archives and their conversion to WARC.
 
-Archives are gzip files that Spark's text writer writes, one value a record
-(the line separator is the format's own), and that are read as binary files and
-parsed by their declared lengths, so any file system Spark knows will do.
+An archive file is a run of gzip members, one a record.  Spark's text writer
+writes them to any file system it knows: a member ends with the highest byte of
+its length, which is zero, so that byte is the writer's line separator.  Files
+are bounded by bytes, read as binary files and parsed by their declared lengths.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import io
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,15 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize, new_path
+from .storage import discard, materialize, new_path, remove
 
 #: Header fields of a URL record, by the version that a version block names.  Fixed values.
 FIELDS = {
-    1: ["url", "ip", "date", "type", "length"],
-    2: ["url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length"],
+    1: "URL IP-address Archive-date Content-type Archive-length",
+    2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Records of a file, its version block included.
-PER_FILE = 2000
+#: Where the URL of a header line ends: an IP address and a date of 14 digits, or its first ones, come next.
+_PLACE = re.compile(r"^(.*) ([0-9A-Fa-f.:]+|-) ([0-9]{4}(?:[0-9]{2}){0,5}) (.*)$", re.S)
+#: Compressed bytes of a file, but for its last record; bytes of a record that go into one gzip member.
+FILE_BYTES, MEMBER_BYTES = 1 << 25, 1 << 23
 #: Payloads of fewer bytes are never revisits.
 LEAST_SHARED = 100
 DATE = "20000101000000"
@@ -42,49 +47,62 @@ class ArcRecord:
     content: bytes
 
 
+def _header(version: int, url: str, date: str, kind: str, size: int, name: str) -> bytes:
+    more = f" 200 - - 0 {name}" if version == 2 else ""
+    return f"{url} 0.0.0.0 {date} {kind}{more} {size}\n".encode()
+
+
 def version_block(version: int, name: str, date: str = DATE) -> bytes:
-    body = f"{version} 0 skein\n{' '.join(FIELDS[version])}\n".encode()
-    values = {"url": f"filedesc://{name}", "ip": "0.0.0.0", "date": date, "type": "text/plain", "status": "200", "checksum": "-", "location": "-", "offset": "0", "filename": name, "length": str(len(body))}
-    return " ".join(values[f] for f in FIELDS[version]).encode() + b"\n" + body
+    body = f"{version} 0 skein\n{FIELDS[version]}\n".encode()
+    return _header(version, f"filedesc://{name}", date, "text/plain", len(body), name) + body
 
 
 def arc_record(version: int, url: str, date: str, kind: str, content: bytes, name: str) -> bytes:
-    values = {"url": url, "ip": "0.0.0.0", "date": date, "type": kind, "status": "200", "checksum": "-", "location": "-", "offset": "0", "filename": name, "length": str(len(content))}
-    return " ".join(values[f] for f in FIELDS[version]).encode() + b"\n" + content
+    return _header(version, url, date, kind, len(content), name) + content
+
+
+def parse_header(line: str, version: int | None) -> tuple[int, ArcRecord, int]:
+    """The version, a record without content, and the declared length.
+
+    The IP address and the date part the URL, spaces included, from the rest.
+    Version 1: the type, spaces included, and the length.  Version 2: five more
+    fields between these.  ``version`` None: told by the fields.
+    """
+    m = _PLACE.match(line)
+    if not m:
+        raise ValueError(f"no ARC header: {line[:80]!r}")
+    url, ip, date, rest = m.groups()
+    datetime.datetime.strptime(full_date(date), "%Y%m%d%H%M%S")
+    long = rest.rsplit(" ", 6)
+    if version is None:
+        version = 2 if len(long) == 7 and re.fullmatch("[0-9]{3}|-", long[1]) and long[4].isdigit() else 1
+    kind, *_, size = long if version == 2 else rest.rsplit(" ", 1)
+    if (version == 2 and len(long) != 7) or not size.isdigit():
+        raise ValueError(f"no ARC header: {line[:80]!r}")
+    return version, ArcRecord(url, ip, date, kind, b""), int(size)
 
 
 def read_arc(stream: io.BufferedIOBase) -> Iterator[ArcRecord]:
     """The records of an ARC stream after its version blocks.
 
     A version block sets the header fields of what follows; before any, a
-    header of five fields is taken as version 1 and one of ten as version 2.
-    Spaces within a URL are kept: the other fields are counted from the right.
+    header's own fields tell.  A header line that doesn't parse, or a record
+    shorter than it declares, is a ValueError.
     """
     version = None
-    while True:
-        line = stream.readline()
-        if not line:
-            return
+    while line := stream.readline():
         line = line.rstrip(b"\r\n")
         if not line:
             continue
-        parts = line.decode("utf-8", "replace").split(" ")
-        here = version or (2 if len(parts) >= len(FIELDS[2]) else 1)
-        if parts[0].startswith("filedesc://"):
-            here = 2 if len(parts) >= len(FIELDS[2]) else 1
-        names = FIELDS[here]
-        if len(parts) < len(names) or not parts[-1].isdigit():
-            raise ValueError(f"no ARC header: {line[:80]!r}")
-        extra = len(parts) - len(names)
-        values = dict(zip(names, [" ".join(parts[: extra + 1]), *parts[extra + 1 :]], strict=True))
-        content = stream.read(int(values["length"]))
-        if len(content) != int(values["length"]):
+        block = line.startswith(b"filedesc://")
+        _, rec, size = parse_header(line.decode("utf-8", "replace"), None if block else version)
+        rec.content = stream.read(size)
+        if len(rec.content) != size:
             raise ValueError(f"ARC record cut short: {line[:80]!r}")
-        if values["url"].startswith("filedesc://"):
-            first = content.split(b" ", 1)[0]
-            version = 2 if first == b"2" else 1
-            continue
-        yield ArcRecord(values["url"], values["ip"], values["date"], values["type"], content)
+        if block:
+            version = 2 if rec.content.split(b" ", 1)[0] == b"2" else 1
+        else:
+            yield rec
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -103,8 +121,13 @@ def http_field(head: bytes, name: str) -> str | None:
     return None
 
 
+def full_date(arc_date: str) -> str:
+    """14 digits; what the date leaves out is the earliest."""
+    return (arc_date + "00000101000000"[len(arc_date) :])[:14]
+
+
 def warc_date(arc_date: str) -> str:
-    d = (arc_date + "00000101000000"[len(arc_date) :])[:14]
+    d = full_date(arc_date)
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -154,20 +177,52 @@ def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes
         yield fields, block
 
 
-def _write(df: DataFrame, path: str, separator: str) -> None:
-    """Writes the binary column ``value``, a record a row."""
-    df.select(F.col("value").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+def member(data: bytes, most: int = MEMBER_BYTES) -> bytes:
+    """Gzip members that hold ``data``, at most ``most`` (below 2^24) bytes each: they end with a zero byte."""
+    return b"".join(gzip.compress(data[i : i + most], 3, mtime=0) for i in range(0, max(1, len(data)), most))
+
+
+#: What a record's row needs to be written: its file and its place in the partition.
+RECORD = "file int, at long, value binary"
+
+
+def _rows(records: Iterator[bytes], first: Callable[[int], bytes], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``RECORD``: members are dealt out to files of bounded size, each
+    of which begins with ``first()``."""
+    file, at, held, rows, size = -1, 0, file_bytes, [], 0
+    for record in records:
+        if held >= file_bytes:
+            file, held = file + 1, 0
+            record = [first(file), record]
+        else:
+            record = [record]
+        for value in map(member, record):
+            rows.append((file, at, value[:-1]))
+            at, held, size = at + 1, held + len(value), size + len(value)
+        if size > 1 << 22 or len(rows) > 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["file", "at", "value"])
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["file", "at", "value"])
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Writes rows of ``RECORD``: each partition's files have its rows in order."""
+    df = df.sortWithinPartitions("file", "at").select("file", F.col("value").cast("string").alias("value"))
+    df.write.partitionBy("file").option("lineSep", "\0").option("compression", "none").text(path)
 
 
 def _files(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.format("binaryFile").load(path).select("content")
 
 
-def _open(content: bytes) -> io.BufferedReader:
+def _open(content: bytes) -> io.BufferedIOBase:
+    if content[:2] != b"\x1f\x8b":
+        return io.BytesIO(content)
     return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, file_bytes: int = FILE_BYTES) -> None:
     """Writes an ARC record for each row, as an HTTP response whose ``X-Page-Id``
     field holds the id.  Partitions alternate between versions 1 and 2.  White
     space and control characters in a URL become ``%20``; a null URL is
@@ -176,86 +231,96 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, name, n = 2 - part % 2, f"skein-{part:06d}.arc", 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                values = []
-                for i, url, html in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    if n % PER_FILE == 0:
-                        values.append(version_block(version, name))
-                        n += 1
+        version = 2 - part % 2
+        name = lambda file: f"skein-{part:06d}-{file:04d}.arc.gz"
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    i, url, html = (c[k].as_py() for c in batch.columns)
                     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + ("" if i is None else f"X-Page-Id: {i}\r\n") + f"Content-Length: {len(html)}\r\n\r\n"
-                    values.append(arc_record(version, url or "about:blank", DATE, "text/html", head.encode() + html, name))
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
+                    yield arc_record(version, url or "about:blank", DATE, "text/html", head.encode() + html, "skein") + b"\n"
 
-    _write(src.mapInArrow(run, "value binary"), path, "\n")
+        yield from _rows(records(), lambda file: version_block(version, name(file)) + b"\n", file_bytes)
 
+    _write(src.mapInArrow(run, RECORD), path)
 
-def arc_to_warc(arcs: DataFrame, path: str) -> None:
-    """Converts ARC files (binary column ``content``) to WARC files at ``path``.
 
-    Records get an identifier that depends on their content, a WARC date,
-    payload and block digests, and a type: of records with equal payloads of at
-    least ``LEAST_SHARED`` bytes the one with the smallest id (``X-Page-Id``)
-    is a response and the others are revisits.  Equal payloads of one id, and
-    those without any id, stay responses; a record without id revisits one with
-    an id.
-    """
+def _warcinfo(name: str) -> bytes:
+    body = b"software: skein\r\nformat: WARC File Format 1.1\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(name, DATE, ""), "WARC-Date": warc_date(DATE), "WARC-Filename": name, "Content-Type": "application/warc-fields", "Content-Length": str(len(body))}
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for r in read_arc(_open(content.as_py())):
-                    head, body = split_http(r.content)
-                    if len(body) >= LEAST_SHARED:
-                        i = http_field(head, "X-Page-Id")
-                        rows.append((None if i is None else int(i), hashlib.sha256(body).hexdigest(), r.url, r.date))
-                if rows:
-                    i, d, u, t = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(d, pa.string()), pa.array(u, pa.string()), pa.array(t, pa.string())], names=["id", "digest", "url", "date"])
 
-    known = materialize(arcs.mapInArrow(keys, "id long, digest string, url string, date string"), "arc-keys")
-    first = materialize(known.groupBy("digest").agg(F.min("id").alias("lead_id"), F.count("*").alias("n")).where("n > 1 AND lead_id IS NOT NULL").select("digest", "lead_id"), "arc-first")
-    lead = known.join(first, "digest").where("id = lead_id").groupBy("digest", "lead_id").agg(F.min(F.struct("url", "date")).alias("r")).select("digest", "lead_id", "r.url", "r.date")
-    lead = materialize(lead, "arc-lead")
-    again = known.select("id", "digest").distinct().join(lead, "digest").where("id IS NULL OR id <> lead_id")
-    again = materialize(again.select(F.coalesce("id", F.lit(-1)).alias("key"), F.col("digest").alias("same"), "lead_id", F.col("url").alias("first_url"), F.col("date").alias("first_date")), "arc-again")
+def arc_records(arcs: DataFrame) -> DataFrame:
+    """The records of ARC files (binary column ``content``, gzip or plain) as a
+    table: id (``X-Page-Id``), payload digest and size, header fields, the
+    content compressed and its length.  Each archive is opened, and each payload
+    hashed, once; nothing later reads the archives."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "digest", "url", "ip", "date", "type", "body"]
+        kinds = (pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.int64())
+        codec = pa.Codec("zstd", 3)
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "digest", "size", "url", "ip", "date", "type", "content", "n"])
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
                 for r in read_arc(_open(content.as_py())):
                     head, body = split_http(r.content)
                     i = http_field(head, "X-Page-Id")
-                    rows.append((-1 if i is None else int(i), hashlib.sha256(body).hexdigest(), r.url, r.ip, r.date, r.type, r.content))
-                    size += len(r.content)
+                    rows.append((None if i is None else int(i), hashlib.sha256(body).hexdigest(), len(body), r.url, r.ip, r.date, r.type, codec.compress(r.content, asbytes=True), len(r.content)))
+                    size += len(rows[-1][7])
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary() if k == 6 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary() if k == 6 else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+                    yield batch_of(rows)
+
+    return materialize(arcs.mapInArrow(parse, "id long, digest string, size long, url string, ip string, date string, type string, content binary, n long"), "arc-records")
+
+
+def records_to_warc(records: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) -> None:
+    """Writes ``arc_records`` as WARC files at ``path``.
+
+    Records get an identifier that depends on their content, a WARC date,
+    payload and block digests, and a type: of records with equal payloads of at
+    least ``LEAST_SHARED`` bytes the one with the smallest id is a response and
+    the others are revisits.  Equal payloads of one id, and those without any
+    id, stay responses; a record without id revisits one with an id.  The
+    records go through the shuffle compressed.
+    """
+    known = records.where(F.col("size") >= LEAST_SHARED)
+    first = known.groupBy("digest").agg(F.min("id").alias("lead_id"), F.count("*").alias("n")).where("n > 1 AND lead_id IS NOT NULL").select("digest", "lead_id")
+    first = materialize(first, "arc-first")
+    lead = known.select("digest", "id", "url", "date").join(first, "digest").where("id = lead_id").groupBy("digest", "lead_id").agg(F.min(F.struct("url", "date")).alias("r"))
+    lead = materialize(lead.select(F.col("digest").alias("same"), "lead_id", F.col("r.url").alias("first_url"), F.col("r.date").alias("first_date")), "arc-lead")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                values = []
-                for key, digest, url, ip, date, kind, content, first, first_url, first_date in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    extra = {} if key == -1 else {"WARC-X-Page-Id": str(key)}
+        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd")
+
+        def rows() -> Iterator[bytes]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    i, digest, url, ip, date, kind, content, n, first, first_url, first_date = (c[k].as_py() for c in batch.columns)
+                    extra = {} if i is None else {"WARC-X-Page-Id": str(i)}
                     to = None
                     if first is not None:
                         to = record_id(first_url, first_date, digest + str(first)), first_url, warc_date(first_date)
                         extra["WARC-X-Refers-To-Page-Id"] = str(first)
-                    values.append(warc_record(ArcRecord(url, ip, date, kind, content), digest, to, extra))
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
+                    yield warc_record(ArcRecord(url, ip, date, kind, codec.decompress(content, n, asbytes=True)), digest, to, extra) + b"\r\n\r\n"
+
+        yield from _rows(rows(), lambda file: _warcinfo(f"skein-{part:06d}-{file:04d}.warc.gz"), file_bytes)
+
+    joined = records.join(lead.hint("merge"), (F.col("digest") == F.col("same")) & (F.col("size") >= LEAST_SHARED) & F.coalesce(F.col("id") != F.col("lead_id"), F.lit(True)), "left")
+    _write(joined.select("id", "digest", "url", "ip", "date", "type", "content", "n", "lead_id", "first_url", "first_date").mapInArrow(convert, RECORD), path)
+    discard(first, lead)
+
 
-    records = arcs.mapInArrow(parse, "key long, digest string, url string, ip string, date string, type string, body binary")
-    joined = records.join(again.withColumnRenamed("key", "again_key").hint("merge"), (F.col("key") == F.col("again_key")) & (F.col("digest") == F.col("same")), "left").select("key", "digest", "url", "ip", "date", "type", "body", "lead_id", "first_url", "first_date")
-    _write(joined.mapInArrow(convert, "value binary"), path, "\r\n\r\n")
-    discard(known, first, lead, again)
+def arc_to_warc(arcs: DataFrame, path: str, *, file_bytes: int = FILE_BYTES) -> None:
+    """Converts ARC files (binary column ``content``) to WARC files at ``path``."""
+    records = arc_records(arcs)
+    records_to_warc(records, path, file_bytes=file_bytes)
+    discard(records)
 
 
 def read_warcs(files: DataFrame) -> DataFrame:
@@ -270,6 +335,8 @@ def read_warcs(files: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 rows = []
                 for f, block in read_warc(_open(content.as_py())):
+                    if f["warc-type"] == "warcinfo":
+                        continue
                     digest = f["warc-payload-digest"].partition(":")[2]
                     head, body = split_http(block)
                     if f["warc-type"] == "revisit":
@@ -288,9 +355,18 @@ def read_warcs(files: DataFrame) -> DataFrame:
 
 def pages_through_archives(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as ARC files, converts them to WARC
-    and reads these back; both archives are in the shared folder.  An empty
-    table gives no rows; other columns are ignored."""
+    and reads these back.  The WARC files stay in the shared folder; the ARC
+    files go once their records are a table.
+
+    One row per page, repeated rows included.  A null url is ``about:blank``, a
+    null html an empty payload; pages without id can't be referred to.  Of equal
+    payloads the smallest id is the response, and so are its repeated rows.  A
+    page of any size is one record.  An empty table gives no rows; other columns
+    are ignored."""
     arc, warc = new_path(pages.sparkSession, "arc"), new_path(pages.sparkSession, "warc")
     write_arc(pages, arc)
-    arc_to_warc(_files(pages, arc), warc)
+    records = arc_records(_files(pages, arc))
+    remove(pages.sparkSession, arc)
+    records_to_warc(records, warc)
+    discard(records)
     return read_warcs(_files(pages, warc))

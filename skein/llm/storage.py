@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a
-    local one is made and set for the session."""
+    """The folder in ``spark.checkpoint.dir``.  Where it is unset and all tasks
+    run in this process (tests), a local one is made and set for the session; a
+    cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="skein-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -42,12 +46,15 @@ def materialize(df: DataFrame, name: str, merge: bool = True) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path made by ``new_path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Deletes tables made by ``materialize`` that no later plan reads."""
     for df in dfs:
         path = getattr(df, "_skein_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-            fs.delete(p, True)
+            remove(df.sparkSession, path)

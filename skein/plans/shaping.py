@@ -97,7 +97,10 @@ def split_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("id"), F.array_join(names, "|").alias("names"), F.array_join(F.array_distinct(names), "|").alias("chain"))
 
 
-@register("normalize_lines", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\n'), lambda x: {sql_trim("regexp_replace(x, '[ \\t]+', ' ', 'g')")}), lambda x: x <> ''), '⏎') AS joined FROM documents WHERE NOT regexp_matches(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}\\x{{a0}}\\x{{2000}}-\\x{{200f}}\\x{{3000}}\\x{{feff}}]')")
+FLAT_SQL = r"regexp_replace(regexp_replace(coalesce(text, ''), '[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '[\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g')"
+
+
+@register("normalize_lines", f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array({FLAT_SQL}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {sql_trim("regexp_replace(x, '[ \\t]+', ' ', 'g')")}), lambda x: x <> ''), '⏎') AS joined FROM documents")
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", F.array_join(T.lines("text"), "⏎").alias("joined"))
@@ -147,14 +150,8 @@ def row_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", D.row_date("s").alias("iso"), D.leads_with_date("s").alias("leads"))
 
 
-@register("date_label_strip", f"SELECT id, y || '-' || m || '-' || d AS iso FROM ({PARTS_SQL}) WHERE k = 0")
+@register("date_label_strip", f"SELECT id, CASE WHEN k IN (0, 1, 2) THEN y || '-' || m || '-' || d ELSE '' END AS iso FROM ({PARTS_SQL})")
 def date_label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _dated(spark, sf_dir).where("id % 5 = 0").withColumn("s", F.concat(F.lit("등록일자 : "), "s"))
-    return s.select("id", D.whole_date(D.strip_label("s", ["등록일", "등록일자", "게시일"])).alias("iso"))
-
-
-@register("date_label_strip_all", f"SELECT id, CASE WHEN k IN (0, 1, 2) THEN y || '-' || m || '-' || d ELSE '' END AS iso FROM ({PARTS_SQL})")
-def date_label_strip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels before every form, over all orders."""
     s = _dated(spark, sf_dir).withColumn("s", F.concat(F.lit("등록일자 : "), "s"))
     return s.select("id", D.whole_date(D.strip_label("s", ["등록일", "등록일자", "게시일"])).alias("iso"))
@@ -416,9 +413,9 @@ def block_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer", "c_custkey").select(i.alias("id"), classify.block(some(i % 5 == 0), some(i % 5 == 1), F.when(i % 3 == 0, "b").otherwise(" "), i % 2 == 0).alias("block"))
 
 
-@register("valid_lines", f"SELECT conv_id, list_count(l) = 2 AND list_bool_and(list_transform(l, lambda x: regexp_matches(x, '[0-9A-Za-z가-힣一-龥]') AND length({sql_squish('x')}) <= 200)) AS valid FROM (SELECT conv_id, list(text ORDER BY turn, text) AS l FROM conversations WHERE text IS NOT NULL GROUP BY 1)".replace("list_count(l)", "len(l)"))
+@register("valid_lines", f"SELECT conv_id, list_count(l) = 2 AND list_bool_and(list_transform(l, lambda x: coalesce(regexp_matches(x, '[0-9A-Za-z가-힣一-龥]') AND length({sql_squish('x')}) <= 200, false))) AS valid FROM (SELECT conv_id, list(text ORDER BY turn, text) AS l FROM conversations GROUP BY 1)".replace("list_count(l)", "len(l)"))
 def valid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").where("text IS NOT NULL")
+    c = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
     return g.select("conv_id", classify.valid_lines(F.transform("l", lambda x: x["text"]), 2, 200).alias("valid"))
 
@@ -468,13 +465,8 @@ def _digest(d: DataFrame) -> DataFrame:
     return render.html_blocks(cards, "source_key", "doc_id", "card")
 
 
-@register("digest_html", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents WHERE doc_id < 200 GROUP BY 1")
+@register("digest_html", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents GROUP BY 1")
 def digest_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(read(spark, sf_dir, "documents", "doc_id", "source", "n_chars").where("doc_id < 200"))
-
-
-@register("digest_html_all", "SELECT source AS source_key, '<h2>' || source || ' (' || count(*) || ')</h2><ul>' || string_agg('<li><a href=\"/d/' || doc_id || '\">' || doc_id || '</a> <span></span><div class=\"body\">' || n_chars || '</div></li>', '' ORDER BY doc_id) || '</ul>' AS block FROM documents GROUP BY 1")
-def digest_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every document."""
     return _digest(read(spark, sf_dir, "documents", "doc_id", "source", "n_chars"))
 

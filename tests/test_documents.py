@@ -230,12 +230,12 @@ def test_normalize_lines_keeps_documents_with_odd_breaks_and_spaces(spark, tmp_p
     assert got == want
 
 
-def test_digest_html_all_has_every_document(spark, tmp_path):
+def test_digest_html_has_every_document(spark, tmp_path):
     from skein.plans import catalogue
 
     rows = [(i, f"s{i % 3}", i) for i in range(450)]
     spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["source_key"]: r["block"] for r in catalogue.queries()["digest_html_all"](spark, str(tmp_path)).collect()}
+    got = {r["source_key"]: r["block"] for r in catalogue.queries()["digest_html"](spark, str(tmp_path)).collect()}
     assert sorted(got) == ["s0", "s1", "s2"]
     assert all(b.startswith(f"<h2>{k} (150)</h2>") and b.count("<li>") == 150 for k, b in got.items())
 

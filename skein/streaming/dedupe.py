@@ -88,11 +88,12 @@ class SeenState:
         made.write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
 
 
-def monitor_batch(state: SeenState, sink: Callable[[DataFrame, int], None], order: str = "pos", cap: int = 50) -> Callable[[DataFrame, int], None]:
+def monitor_batch(state: SeenState, sink: Callable[[DataFrame, int], None], order: str = "pos", cap: int = 50, dry: bool = False) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: new posts of sources known to the state go to
     the sink, at most ``cap`` of a source; only then are all of them marked as
     seen.  A source's first batch is recorded without being sent.  Delivery is
-    at least once: the sink should ignore a batch id that it has seen.
+    at least once: the sink should ignore a batch id that it has seen.  ``dry``:
+    nothing is marked, so the next run sees the same posts.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -102,7 +103,8 @@ def monitor_batch(state: SeenState, sink: Callable[[DataFrame, int], None], orde
             fresh = relops.new_items(batch, seen, ["source_key", "post_id"])
             known = seen.select("source_key").distinct()
             sink(relops.newest(fresh.join(known, "source_key", "left_semi"), ["source_key"], [order, "post_id"], cap), batch_id)
-            state.commit(fresh.select("source_key", "post_id", order), order)
+            if not dry:
+                state.commit(fresh.select("source_key", "post_id", order), order)
         finally:
             batch.unpersist()
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from skein.operators import details
 from skein.operators import model_client as C
+from skein.sources import boards, http_pages, json_lists
 from skein.sources import html as H
-from skein.sources import http_pages, json_lists
 from skein.sources import post_dates as P
+from skein.streaming import dedupe, sinks
 
 
 def dated(spark, pages: list[str], scopes=(".h",)) -> list[str]:
@@ -152,3 +153,44 @@ def test_http_source_gets_and_posts(spark):
     server.shutdown()
     waits: list[float] = []
     assert http_pages.fetch("http://127.0.0.1:9/", tries=5, connect=0.5, sleep=waits.append)[1] == "error" and len(waits) == 1
+
+
+def test_board_is_fetched_twice_if_empty():
+    pages, dumped = ["", "<a href='/1'>One</a><a href='/2'>Two</a>"], []
+    assert [r["title"] for r in boards.scan_board(lambda: pages.pop(0), lambda p: H.links(p, "http://h/"), 1, dumped.append)] == ["One"]
+    assert boards.scan_board(lambda: "<p>", lambda p: [], 5, dumped.append) == [] and dumped == ["<p>"]
+
+
+def test_digest_messages():
+    files = [sinks.File("a.pdf", b"x" * 60, "application/pdf"), sinks.File("b", b"y" * 50), sinks.File("none", None), sinks.File("c", b"z" * 40)]
+    d = sinks.digest_message("s\nt", "<p>h</p>", "plain", "me@h", ["a@h", " a@h ", "b@h"], files, budget=100)
+    assert [p.get_filename() for p in d.message.iter_attachments()] == ["a.pdf", "c"] and d.left_out == ["b", "none"]
+    assert d.message["To"] == "undisclosed-recipients:;" and "a@h" not in d.message.as_string() and d.recipients == ["a@h", "b@h"]
+    assert d.message.get_body(("plain",)).get_content().strip() == "plain" and d.message["Subject"] == "s t"
+    assert sinks.deliver(d, lambda m, sender, to: {"b@h": (550, b"no")}) == ["b@h"] and sinks.deliver(d, lambda *a: {}) == []
+    with pytest.raises(RuntimeError):
+        sinks.deliver(d, lambda m, sender, to: dict.fromkeys(to))
+    with pytest.raises(ValueError, match="recipient"):
+        sinks.deliver(sinks.digest_message("s", "", "", "me@h", []), lambda *a: {})
+
+
+def test_dry_run_marks_nothing(spark, tmp_path):
+    state = dedupe.SeenState(spark, f"{tmp_path}/seen")
+    state.commit(spark.createDataFrame([("s", "0", 1)], "source_key string, post_id string, pos int"), "pos")
+    batch = spark.createDataFrame([("s", str(i), f"t{i}", i) for i in range(3)], "source_key string, post_id string, title string, pos int")
+    said: list[str] = []
+    for _ in range(2):
+        dedupe.monitor_batch(state, lambda df, i: sinks.preview(df, said.append), dry=True)(batch, 1)
+    assert said == ["[s] t1 (1)", "[s] t2 (2)"] * 2 and state.version() == 0
+    sinks.preview(batch.limit(0), said.append)
+    assert said[-1] == "nothing new"
+
+
+def test_quarantine_and_manifest(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "<p>"), ("b", None)], "source_key string, body string")
+    sinks.quarantine(pages, f"{tmp_path}/q", "source_key", "body", F.upper)
+    sinks.quarantine(pages, f"{tmp_path}/q", "source_key", "body")
+    got = spark.read.parquet(f"{tmp_path}/q")
+    assert got.count() == 4 and {r["body"] for r in got.where("source_key = 'a'").collect()} == {"<P>", "<p>"}
+    sinks.write_manifest(pages, f"{tmp_path}/m")
+    assert sorted(json.loads(x["value"])["source_key"] for x in spark.read.text(f"{tmp_path}/m").collect()) == ["a", "b"]

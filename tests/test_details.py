@@ -194,3 +194,17 @@ def test_quarantine_and_manifest(spark, tmp_path):
     assert got.count() == 4 and {r["body"] for r in got.where("source_key = 'a'").collect()} == {"<P>", "<p>"}
     sinks.write_manifest(pages, f"{tmp_path}/m")
     assert sorted(json.loads(x["value"])["source_key"] for x in spark.read.text(f"{tmp_path}/m").collect()) == ["a", "b"]
+
+
+def test_har_keeps_names_and_loses_secrets():
+    from skein.functions.redact import redact_har
+
+    entry = {
+        "request": {"url": "https://h/p?csrfToken=s3cret&billId=7", "cookies": [{"name": "a", "value": "s3cret"}], "headers": [{"name": "Authorization", "value": "s3cret"}, {"name": "Accept", "value": "x"}], "postData": {"text": '{"token": "s3cret", "n": 1}', "params": [{"name": "sid", "value": "s3cret"}]}},
+        "response": {"redirectURL": "https://h/?token=s3cret", "content": {"text": "mail a@b.test", "mimeType": "text/html"}, "status": 200},
+    }
+    got = redact_har({"log": {"entries": [entry]}})
+    said = json.dumps(got)
+    assert "s3cret" not in said and "a@b.test" not in said and "billId=7" in said and "csrfToken=REDACTED" in said
+    assert got["log"]["entries"][0]["request"]["cookies"] == [] and got["log"]["entries"][0]["request"]["headers"][1] == {"name": "Accept", "value": "x"}
+    assert got["log"]["entries"][0]["response"]["status"] == 200 and redact_har(None) is None

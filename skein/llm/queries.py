@@ -74,7 +74,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), specials=_vocabulary("byte_bpe_50k.json"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -19,8 +20,10 @@ from .vectext import column, pieces
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text longer than this many code points is encoded in parts.
 PART = 1 << 16
-#: Bytes of text in one call of the encoder.
+#: Bytes of text in one batch of the encoder.
 BATCH_BYTES = 1 << 18
+#: A run of white space from so many characters on is too deep for tiktoken's own splitter.
+_BLANK = re.compile(r"\s{20000}")
 #: A letter or digit, a space, another one: every supported pre-tokenizer ends a token before that space.
 _SAFE = re.compile("[A-Za-z0-9](?= [A-Za-z0-9])")
 
@@ -43,10 +46,11 @@ def split_safely(text: str, most: int = PART) -> list[str]:
 def encoder(path: str, specials: str | None = None) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts.
 
-    ``.tiktoken``: byte-level ranks; ``specials`` names a tokenizers JSON whose
+    ``.json``: the tokenizers library, a batch of parts a call.  ``.model``: the
+    sentencepiece library, whose texts are never split.  ``.tiktoken``:
+    byte-level ranks, a text a call; ``specials`` names a tokenizers JSON whose
     added tokens count as one wherever their strings occur, as that library
-    does by default.  ``.json``: the tokenizers library.  ``.model``: the
-    sentencepiece library, whose texts are never split.
+    does by default.
     """
     if path.endswith(".tiktoken"):
         import tiktoken
@@ -58,6 +62,15 @@ def encoder(path: str, specials: str | None = None) -> Callable[[list[str]], lis
         if specials:
             with open(specials, encoding="utf-8") as f:
                 added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        import regex
+
+        plain = regex.compile(BYTE_LEVEL)
+
+        def one(text: str) -> int:
+            if _BLANK.search(text):
+                return sum(len(core._encode_single_piece(m.group().encode())) for m in plain.finditer(text))
+            return len(core.encode_ordinary(text))
+
         cut = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
 
         def count(texts: list[str]) -> list[int]:
@@ -67,10 +80,11 @@ def encoder(path: str, specials: str | None = None) -> Callable[[list[str]], lis
                 if cut and cut.search(text):
                     run = cut.split(text)
                     n = len(run) - 1
-                out.append(n + sum(len(core.encode_ordinary(p)) for r in run for p in split_safely(r)))
+                out.append(n + sum(one(p) for r in run for p in split_safely(r)))
             return out
 
     elif path.endswith(".json"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -100,7 +114,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ``over_limit`` (more tokens than ``limit``).
 
     No begin, end or added tokens, no truncation.  A null text counts as empty:
-    0 bytes, 0 tokens.  A null id stays null.  Other columns are ignored.
+    0 bytes, 0 tokens.  A null id stays null, and repeated rows are counted each
+    for itself.  A very long text is encoded in parts where a token must end;
+    without such a place (one long run) it is encoded whole.  Other columns are
+    ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

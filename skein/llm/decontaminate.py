@@ -63,17 +63,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     sizes = items.select(F.size(tokens(F.col("t"))).alias("m")).where(F.col("m").between(1, WINDOW - 1)).distinct().collect()
     hits = _seeds(src, ["id"], "t", sorted({RUNS[r["m"]] for r in sizes})).join(F.broadcast(theirs) if small else theirs, "hash")
     places = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
-    item_tokens = items.select("item", tokens(F.col("t")).alias("b"))
-    places = places.join(F.broadcast(item_tokens) if small else item_tokens, "item")
-    places = materialize(places.groupBy("id").agg(F.collect_list(F.struct("item", "offset", "b")).alias("places")), "places")
+    item_tokens = materialize(items.select("item", tokens(F.col("t")).alias("b")).withColumn("m", F.size("b")), "items")
+    lengths = item_tokens.select("item", "m")
+    places = places.join(F.broadcast(lengths) if small else lengths, "item")
+    # A document's places hold numbers only; tokens are cut to the overlap before the item's come in.
+    places = materialize(places.groupBy("id").agg(F.collect_list(F.struct("item", "offset", "m")).alias("places")), "places")
     # Always a merge join: the hits grow with the documents.
     met = src.join(places.withColumnRenamed("id", "hit").hint("merge"), F.col("id").eqNullSafe(F.col("hit")))
-    met = met.select("id", tokens(F.col("t")).alias("a"), "places").select("id", "a", F.explode("places").alias("p"))
+    met = met.select("id", tokens(F.col("t")).alias("a"), "places")
     # Where the two overlap, from the later start to the earlier end.
-    begin = F.greatest(F.lit(0), -F.col("p.offset"))
-    length = F.least(F.size("p.b") - begin, F.size("a") - F.greatest(F.lit(0), F.col("p.offset")))
-    met = met.select("id", F.col("p.item").alias("item"), F.size("p.b").alias("items"), F.slice("p.b", begin + 1, F.greatest(length, F.lit(0))).alias("b"), F.slice("a", F.greatest(F.lit(0), F.col("p.offset")) + 1, F.greatest(length, F.lit(0))).alias("a"))
-    met = met.select("id", "item", "items", F.zip_with("a", "b", lambda x, y: (x == y).cast("int")).alias("same"))
+    skipped = lambda p: F.greatest(F.lit(0), -p["offset"])
+    begin = lambda p: F.greatest(F.lit(0), p["offset"])
+    length = lambda p: F.greatest(F.lit(0), F.least(p["m"] - skipped(p), F.size("a") - begin(p)))
+    cut = F.transform("places", lambda p: F.struct(p["item"].alias("item"), p["m"].alias("items"), skipped(p).alias("skipped"), F.slice("a", begin(p) + 1, length(p)).alias("a")))
+    met = met.select("id", F.explode(cut).alias("p")).select("id", "p.*")
+    met = met.join(F.broadcast(item_tokens) if small else item_tokens, "item")
+    met = met.select("id", "item", "items", F.zip_with("a", F.slice("b", F.col("skipped") + 1, F.size("a")), lambda x, y: (x == y).cast("int")).alias("same"))
     window = F.least(F.lit(WINDOW), F.col("items"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - window + 1), lambda i: F.aggregate(F.slice("same", i, window), F.lit(0), lambda s, x: s + x))
     met = met.select("id", "item", F.when(F.size("same") >= window, F.array_max(sums)).otherwise(0).alias("best"), F.aggregate("same", F.lit(0), lambda s, x: s + x).alias("equal"), F.size("same").alias("of"), window.alias("window"))
@@ -89,7 +94,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Documents and items without tokens have no hit.  Null texts
     count as empty, null item ids are ignored, rows of one id share their
-    findings, and so do rows without id.  Other columns are ignored.
+    findings, and so do rows without id; so do repeated rows of an item.  Whole
+    texts count, however long.  Of places with equally many equal tokens in the
+    best window, that with the most in the overlap, then the longest, counts.
+    Empty tables give no rows, or no findings.  Other columns are ignored.
     """
     found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text)
     each = found.groupBy(F.col(id_col).alias("hit")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("best").alias("best"))

@@ -52,31 +52,46 @@ ALLOW = (
 )
 
 
+#: Codes from the first to the last character of a candidate; a window has fewer characters than this.
+FIRST, LAST, MOST = 43, 122, 32
+#: Bits of a count, counts in a long, and longs.
+BITS = MOST.bit_length() - 1
+PER_LONG = 63 // BITS
+LONGS = -(-(LAST - FIRST + 1) // PER_LONG)
+
+
 def window_entropy(s: Column, window: Column) -> Column:
-    """The largest Shannon entropy, in bits, of a window of ``window`` ASCII
-    characters sliding over ``s`` (of all of ``s`` if it is shorter).
+    """The largest Shannon entropy, in bits, of a window of ``window`` (below
+    ``MOST``) characters of codes ``FIRST`` to ``LAST`` sliding over ``s`` (of
+    all of ``s`` if it is shorter).
 
-    The fold holds the count of each character of the window and the sum of
-    c * log2(c); a step changes both for the two characters that move.
+    The fold holds the counts of the window's characters, packed into a few
+    longs, and the sum of c * log2(c); a step changes both for the two
+    characters that move.
     """
     size = F.least(F.length(s), window)
     bits = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), size), codes), 1, F.length(s))
-    moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("into"), b.alias("out")))
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(-1), size), codes), 1, F.length(s))
+    place = lambda c: F.floor(c / PER_LONG).cast("int")
+    shift = lambda c: c % PER_LONG * BITS
+    moves = F.zip_with(codes, leaving, lambda a, b: F.struct(a.alias("into"), place(a).alias("at"), shift(a).alias("by"), b.alias("out"), place(b).alias("out_at"), shift(F.greatest(b, F.lit(0))).alias("out_by")))
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by)
+    count = lambda counts, at, by: F.call_function("shiftright", F.get(counts, at), by).bitwiseAND(F.lit(MOST - 1).cast("long")).cast("int")
 
     def step(acc: Column, x: Column) -> Column:
-        into, out, n, size = x["into"], x["out"], acc["n"] + 1, acc["size"]  # out is 0 until the window is full
-        a = F.element_at(acc["counts"], into)
-        b = F.when(out > 0, F.element_at(acc["counts"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
-        same = into == out
+        n, size = acc["n"] + 1, acc["size"]  # out is -1 until the window is full
+        a = count(acc["counts"], x["at"], x["by"])
+        b = F.when(x["out"] >= 0, count(acc["counts"], x["out_at"], x["out_by"])).otherwise(F.lit(0))
+        same = x["into"] == x["out"]
         total = F.when(same, acc["sum"]).otherwise(acc["sum"] + bits(a + 1) - bits(a) + bits(b - 1) - bits(b))
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + (k + 1 == into).cast("int") - (k + 1 == out).cast("int")))
+        none = F.lit(0).cast("long")
+        moved = F.transform(acc["counts"], lambda c, k: c + F.when(k == x["at"], one(x["by"])).otherwise(none) - F.when(k == x["out_at"], one(x["out_by"])).otherwise(none))
         entropy = F.when(n >= size, F.log2(size) - total / size).otherwise(F.lit(0.0))
-        return F.struct(size.alias("size"), n.alias("n"), counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
+        return F.struct(size.alias("size"), n.alias("n"), F.when(same, acc["counts"]).otherwise(moved).alias("counts"), total.alias("sum"), F.greatest(acc["best"], entropy).alias("best"))
 
     # What depends on all of the run is evaluated once, here, and not in each step.
-    start = F.struct(size.alias("size"), F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    start = F.struct(size.alias("size"), F.lit(0).alias("n"), F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
     return F.aggregate(moves, start, step, lambda acc: acc["best"])
 
 
@@ -98,8 +113,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     end, kind, text) by start, then kind (assign, access, hex, entropy); and
     ``base``, those of the pattern rules.  Positions are code points, ends are
     exclusive.  A null text counts as empty and has no secrets; an entropy
-    finding that lies within a pattern finding is not repeated.  Other columns
-    are ignored.
+    finding that lies within a pattern finding is not repeated.  Findings of
+    different kinds may overlap; those with one start stand in the order of
+    kinds.  A very long text is scanned whole, repeated rows each for itself.
+    An empty table gives no rows; other columns are ignored.
     """
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("run", RUN)):

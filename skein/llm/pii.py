@@ -90,7 +90,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind, text, score) by start, then kind; and ``base``, those of the base
     kinds.  Positions are code points, ends exclusive.  A null text counts as
     empty.  Base kinds are reported whatever their score; the others from a
-    score of ``LEAST`` on.  Other columns are ignored.
+    score of ``LEAST`` on.  Spans of different kinds may overlap, and those with
+    one start stand in the order of kinds.  A very long text is searched whole;
+    repeated rows are searched each for itself.  An empty table gives no rows;
+    other columns are ignored.
     """
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     for k in KINDS:
@@ -131,11 +134,12 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract columns of a search."""
+    """The contract columns of a search, and the score of each span in their order."""
     return found.select(
         id_col,
         *(count_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
         F.size(F.filter("pii", lambda s: s["ord"] >= len(BASE_KINDS))).cast("long").alias("n_more"),
     )

@@ -186,7 +186,10 @@ def train(docs: DataFrame, text_col: str, label_col: str, key: Column, *, max_tr
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``lang_pred`` (a learned label, or
     ``und`` for a text that is null or has no letter, or without a model) and
-    ``score`` (calibrated probability, 0 for ``und``).  Other columns are ignored."""
+    ``score`` (calibrated probability, 0 for ``und``).  Very long texts count
+    whole, repeated rows each for itself; of labels with equal probabilities the
+    first in order is taken.  An empty table gives no rows; other columns are
+    ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize
-from .vectext import column, pieces, words
+from .vectext import by_row, column, pieces, words
 
 #: Hashed word space; at most about so many labelled rows fit the chain; folds.
 BITS, MAX_TRAIN, FOLDS = 18, 6000, 3
@@ -40,8 +40,8 @@ class Linear:
     bias: float
 
     def score(self, buckets: np.ndarray, at: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(self.weights[buckets])))
-        return sums[at[1:]] - sums[at[:-1]] + earlier @ self.chain + self.bias
+        # Each row is summed for itself, so that equal texts score equally whatever stands beside them.
+        return by_row(self.weights[buckets], at, np.add, 0) + earlier @ self.chain + self.bias
 
 
 def sigmoid(x):
@@ -153,7 +153,10 @@ def train(docs: DataFrame, text_col: str, categories: dict[str, Column], key: Co
 def predict(docs: DataFrame, chain: ToxicityChain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, and for each category ``p_<name>``
     and ``is_<name>``.  Without a chain (no labelled row) only ``id_col`` is
-    returned.  A null text counts as empty.  Other columns are ignored."""
+    returned.  A null text counts as empty; a very long one counts with all its
+    words; equal texts have equal probabilities, repeated rows among them; a
+    probability at the threshold counts as toxic.  An empty table gives no rows;
+    other columns are ignored."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if chain is None:
         return src.select(F.col("id").alias(id_col))

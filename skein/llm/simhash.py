@@ -71,10 +71,22 @@ def _tables(value: Column, radius: int, blocks: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(t), *(block[i] for i in chosen)) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))))
 
 
-def within_radius(queries: DataFrame, table: DataFrame, fp_col: str = "fingerprint", *, radius: int = 3, blocks: int = 5) -> DataFrame:
+def blocks_for(rows: int, radius: int) -> int:
+    """The fewest blocks, from ``radius`` + 2, whose keys have a bit for each
+    doubling of the rows: unlike fingerprints then share a key about once a
+    query and table, at any size."""
+    for blocks in range(radius + 2, 16):
+        if (blocks - radius) * BITS // blocks >= rows.bit_length():
+            return blocks
+    return 16
+
+
+def within_radius(queries: DataFrame, table: DataFrame, fp_col: str = "fingerprint", *, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(query_fp, found_fp, distance): all pairs of a distinct fingerprint of
     ``queries`` and one of ``table`` within ``radius`` bits, each once.  Null
-    fingerprints are ignored.  ``blocks`` must exceed ``radius``."""
+    fingerprints are ignored.  ``blocks`` must exceed ``radius``; without it
+    their number follows from the rows of ``table``, which are counted."""
+    blocks = blocks_for(table.count(), radius) if blocks is None else blocks
     if not 0 <= radius < blocks <= 16:
         raise ValueError("need 0 <= radius < blocks <= 16")
 

@@ -108,3 +108,29 @@ def overlaps(text: str | None, items: dict[int, str], masks, window: int, share:
         if best >= math.ceil(round(w * share, 9)):
             found.append(item)
     return sorted(found)
+
+
+def ftrl(rows: list[dict], targets: list[list[float]], order: list[list[int]], *, alpha: float, beta: float, l1: float, l2: float, free: set, outputs: int, link) -> list[dict]:
+    """Weights by feature, an output each, of follow-the-regularised-leader, a
+    number at a time.  ``rows``: feature -> value; ``targets``: a row each;
+    ``order``: the rows of each epoch; ``free``: features without L1."""
+    z: list[dict] = [{} for _ in range(outputs)]
+    n: list[dict] = [{} for _ in range(outputs)]
+
+    def weight(k, f):
+        v, pen = z[k].get(f, 0.0), 0.0 if f in free else l1
+        if abs(v) <= pen:
+            return 0.0
+        return -(v - (pen if v > 0 else -pen)) / ((beta + n[k].get(f, 0.0) ** 0.5) / alpha + l2)
+
+    for epoch in order:
+        for r in epoch:
+            w = [{f: weight(k, f) for f in rows[r]} for k in range(outputs)]
+            p = link([sum(w[k][f] * v for f, v in rows[r].items()) for k in range(outputs)])
+            for k in range(outputs):
+                for f, v in rows[r].items():
+                    g = (p[k] - targets[r][k]) * v
+                    was = n[k].get(f, 0.0)
+                    n[k][f] = was + g * g
+                    z[k][f] = z[k].get(f, 0.0) + g - (n[k][f] ** 0.5 - was**0.5) / alpha * w[k][f]
+    return [{f: weight(k, f) for f in z[k]} for k in range(outputs)]

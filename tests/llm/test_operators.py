@@ -142,6 +142,8 @@ def test_pii_score_and_redaction(spark):
     assert "iban" not in [s["kind"] for s in got[2][0]]
     near = by_id(pii.find_pii(spark.createDataFrame([(1, "write to a@b.de"), (2, "xx a@b.de")], "doc_id long, text string")), "pii")
     assert near[1][0][0]["score"] > near[2][0][0]["score"]
+    said = by_id(pii.digest(pii.find_pii(df)), "spans", "scores")
+    assert said[3] == ("email:9:15,ip:20:28", "1.00,0.60") and said[1] == ("iban:17:44", "1.00") and said[4] == ("", "")
     out = by_id(pii.redact_pii(df), "text", "pii")
     assert out[3] == ("write to <EMAIL>, or <IP>", 1) and out[4] == (None, 1)
 
@@ -160,6 +162,38 @@ def test_pages_come_back(spark):
     assert digests[3] == hashlib.sha256(big.encode()).hexdigest() and digests[5] == hashlib.sha256(b"").hexdigest()
 
 
+def test_archive_files_are_runs_of_members_bounded_by_bytes(spark, tmp_path):
+    import random
+
+    data = random.Random(2).randbytes(5000)
+    assert gzip.decompress(archive.member(data, 600)) == data and archive.member(data, 600)[-1] == archive.member(b"")[-1] == 0
+    word = random.Random(1).choices
+    rows = [(i, f"http://h/{i}", "".join(word("abcdefghij", k=200_000 if i == 5 else 3000))) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archive.write_arc(pages, f"{tmp_path}/arc", file_bytes=20_000)
+    files = sorted(tmp_path.glob("arc/*/part-*"))
+    assert len(files) >= 3 and sum(f.stat().st_size for f in files if f.stat().st_size > 30_000) < 120_000
+    for f in files:
+        with gzip.open(f) as stream:
+            assert stream.readline().startswith(b"filedesc://")
+        with gzip.open(f) as stream:
+            assert all(r.content for r in archive.read_arc(stream))
+    archive.arc_to_warc(archive._files(pages, f"{tmp_path}/arc"), f"{tmp_path}/warc", file_bytes=20_000)
+    out = {r["page_id"]: r for r in archive.read_warcs(archive._files(pages, f"{tmp_path}/warc")).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in out.items()} == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, _, t in rows}
+    for f in tmp_path.glob("warc/*/part-*"):
+        with gzip.open(f) as stream:
+            kinds = [fields["warc-type"] for fields, _ in archive.read_warc(stream)]
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+
+
+def test_no_pages_and_pages_without_text(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert archive.pages_through_archives(none).count() == 0
+    empty = archive.pages_through_archives(spark.createDataFrame([(1, None, None), (None, None, "")], "page_id long, url string, html string")).collect()
+    assert [(r["payload_bytes"], r["record_type"]) for r in empty] == [(0, "response")] * 2
+
+
 def test_arc_versions():
     for version in (1, 2):
         data = archive.version_block(version, "f.arc") + b"\n" + archive.arc_record(version, "http://h/a b", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\n\r\nhi\n\n", "f.arc") + b"\n" + archive.arc_record(version, "http://h/", "2001", "text/plain", b"", "f.arc") + b"\n"
@@ -173,6 +207,12 @@ def test_arc_versions():
         list(archive.read_arc(io.BytesIO(archive.arc_record(1, "u", "2001", "t", b"abc", "f")[:-1])))
     with pytest.raises(ValueError, match="no ARC header"):
         list(archive.read_arc(io.BytesIO(b"what is this\n")))
+    odd = b"http://h/ 1.2.3.4 x 1.2.3.4 20010203040506 text/html; charset=utf-8 2\nhi\n"
+    (rec,) = archive.read_arc(io.BytesIO(odd))
+    assert (rec.url, rec.ip, rec.date, rec.type, rec.content) == ("http://h/ 1.2.3.4 x", "1.2.3.4", "20010203040506", "text/html; charset=utf-8", b"hi")
+    with pytest.raises(ValueError, match="does not match|unconverted"):
+        list(archive.read_arc(io.BytesIO(odd.replace(b"20010203040506", b"20011303040506"))))
+    assert b"URL IP-address Archive-date Content-type Archive-length\n" in archive.version_block(1, "f")
     assert archive.record_id("u", "d", "x") == archive.record_id("u", "d", "x") != archive.record_id("u", "d", "y")
     assert gzip.decompress(gzip.compress(b"x")) == b"x"
 
@@ -254,6 +294,9 @@ def test_radius_search_finds_all(spark):
                 x ^= 1 << int(bit)
             values.add(x)
     df = spark.createDataFrame([(f"{v:016x}",) for v in values], "fingerprint string")
+    for blocks in (4, 6, 7):
+        assert simhash.within_radius(df, df, radius=3, blocks=blocks).count() == simhash.within_radius(df, df, radius=3).count()
+    assert [simhash.blocks_for(n, 3) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 6, 8]
     got = {(r["query_fp"], r["found_fp"], r["distance"]) for r in simhash.within_radius(df, df, radius=3).collect()}
     assert got == {(f"{a:016x}", f"{b:016x}", bin(a ^ b).count("1")) for a in values for b in values if bin(a ^ b).count("1") <= 3}
 
@@ -286,6 +329,14 @@ def test_counts_on_odd_texts(library, text):
     assert token_counts.encoder(P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"))([text]) == [want]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_long_runs_of_white_space(spark, library, name):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a " + "\t" * 300_000 + " b", "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(token_counts.count_tokens(df, P.path(name), specials=P.path("byte_bpe_50k.json")), "n_bytes", "n_tokens")
+    assert [got[i] for i in range(4)] == [(len(t), len(library.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
 def test_safe_parts():
     parts = token_counts.split_safely(LONG, 1000)
     assert "".join(parts) == LONG and len(parts) > 100 and all(p.startswith(" ") for p in parts[1:])
@@ -373,6 +424,99 @@ def test_toxicity_on_held_out_rows(spark):
     assert chain.models[0].chain.shape == (0,) and chain.models[1].chain.shape == (1,)
 
 
+def _sigmoid(z):
+    return [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in z]
+
+
+def test_chain_agrees_with_a_plain_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 12)) + (" bad" if i % 3 == 0 else "") + (" worse" if i % 4 == 0 else ""), int(i % 3 == 0), int(i % 4 == 0 or i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a int, b int")
+    chain = toxicity.train(df, "text", {"a": F.col("a"), "b": F.col("b")}, F.col("doc_id"))
+    got = by_id(toxicity.predict(df, chain), "p_a", "p_b")
+    # The plain version: the same order of rows, words instead of buckets, a number at a time.
+    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
+    ranked = sorted(rows, key=lambda r: order[r[0]])
+    text = [sorted(set(r[1].split())) for r in ranked]
+    odds = lambda p: float(np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))))
+
+    def fit(which, earlier, y):
+        x = [dict.fromkeys(text[i], 1.0) | ({"#chain": odds(earlier[i])} if earlier else {}) | {"#bias": 1.0} for i in which]
+        epochs = [np.random.default_rng(e).permutation(len(x)).tolist() for e in range(4)]
+        (w,) = brute.ftrl(x, [[y[i]] for i in which], epochs, alpha=1.0, beta=1.0, l1=3.0, l2=0.5, free={"#chain", "#bias"}, outputs=1, link=_sigmoid)
+        return lambda i, e: _sigmoid([sum(w.get(f, 0.0) for f in text[i]) + (w.get("#chain", 0.0) * odds(e[i]) if e else 0.0) + w.get("#bias", 0.0)])[0]
+
+    every, ya, yb = list(range(len(rows))), [r[2] for r in ranked], [r[3] for r in ranked]
+    held = {}
+    for f in range(3):
+        model = fit([i for i in every if i % 3 != f], None, ya)
+        held |= {i: model(i, None) for i in every if i % 3 == f}
+    first = fit(every, None, ya)
+    second = fit(every, held, yb)
+    said = {i: first(i, None) for i in every}
+    for i, r in enumerate(ranked):
+        assert abs(got[r[0]][0] - said[i]) < 1e-6 and abs(got[r[0]][1] - second(i, said)) < 1e-6
+
+
+def test_equal_texts_have_equal_probabilities(spark):
+    rows = [(i, "some words that are equal" if i % 2 else " ".join(f"x{i}_{k}" for k in range(i * 7 % 90)), i % 2, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a int, b int")
+    chain = toxicity.train(df, "text", {"a": F.col("a")}, F.col("doc_id"))
+    chain.models[0].weights[:] = np.random.default_rng(1).normal(size=toxicity.DIM)
+    got = by_id(toxicity.predict(df, chain), "p_a")
+    assert len({got[i] for i in range(1, 200, 2)}) == 1
+    assert toxicity.train(df.withColumn("a", F.lit(None).cast("int")), "text", {"a": F.col("a")}, F.col("doc_id")) is None
+
+
+def test_language_model_agrees_with_a_plain_one(spark):
+    import unicodedata
+
+    rng = np.random.default_rng(3)
+    words = {"en": "the and of with that this".split(), "de": "der und mit dass für über".split(), "fr": "le et avec que pour été".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], 9)), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, "text", "lang", F.col("doc_id"))
+    got = by_id(language_id.predict(df, model), "lang_pred", "score")
+    order = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
+    ranked = sorted(rows, key=lambda r: order[r[0]])
+
+    def grams(t):
+        out = {}
+        for k in (1, 2, 3):
+            for i in range(len(t) - k + 1):
+                bucket = int(np.flatnonzero(language_id._grams(language_id._points(t[i : i + k])) - sum(language_id._grams(language_id._points(t[i : i + k][a:b])) for a in range(k) for b in range(a + 1, k + 1) if b - a < k))[0])
+                out[bucket] = out.get(bucket, 0) + 1
+        return out
+
+    counts = [grams(unicodedata.normalize("NFC", r[1]).lower()) for r in ranked]
+    df_ = {}
+    for c in counts:
+        for f in c:
+            df_[f] = df_.get(f, 0) + 1
+    idf = lambda f: np.log((1 + len(rows)) / (1 + df_.get(f, 0))) + 1
+
+    def features(c):
+        x = {f: (1 + np.log(n)) * idf(f) for f, n in c.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        return {f: v / norm for f, v in x.items()} | {"#bias": 1.0}
+
+    def softmax(z):
+        e = [np.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    labels = sorted(words)
+    x = [features(c) for c in counts]
+    fit = [i for i in range(len(x)) if i % 5]
+    epochs = [[int(j) for j in np.random.default_rng(e).permutation(len(fit))] for e in range(3)]
+    w = brute.ftrl([x[i] for i in fit], [[float(ranked[i][2] == k) for k in labels] for i in fit], epochs, alpha=0.5, beta=1.0, l1=0.02, l2=0.02, free=set(), outputs=3, link=softmax)
+    logits = [[sum(wk.get(f, 0.0) * v for f, v in xi.items()) for wk in w] for xi in x]
+    loss = lambda t: np.mean([-np.log(softmax([v / t for v in logits[i]])[labels.index(ranked[i][2])]) for i in range(0, len(x), 5)])
+    assert loss(model.temperature) <= min(loss(model.temperature * 1.01), loss(model.temperature / 1.01)) + 1e-9
+    for i, r in enumerate(ranked):
+        p = softmax([v / model.temperature for v in logits[i]])
+        assert got[r[0]][0] == labels[int(np.argmax(p))] and abs(got[r[0]][1] - max(p)) < 1e-5
+
+
 def test_overlaps_agree_with_brute_force(spark, table, sf):
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r["item_id"]: r["text"] for r in benchmark.collect()}

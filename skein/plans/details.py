@@ -297,7 +297,7 @@ def scripted(item: int) -> model_client.Transport:
 @register(
     "model_chain",
     """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'b' ELSE 'gemini-2.5-a' END AS model,
-    1 + (s_suppkey % 2) + CASE WHEN s_suppkey % 3 < 2 THEN 1 ELSE 0 END AS calls, 1.0 * (s_suppkey % 3 = 1)::INT AS waited FROM supplier""",
+    1 + (s_suppkey % 2) + CASE WHEN s_suppkey % 3 < 2 THEN 1 ELSE 0 END AS calls, CASE WHEN s_suppkey % 3 = 1 THEN 1 ELSE 0 END::DOUBLE AS waited FROM supplier""",
 )
 def model_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of models, the retry and the dropped option, against scripted answers."""

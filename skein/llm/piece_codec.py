@@ -63,6 +63,7 @@ class PieceCodec:
                 self.ids[p] = i
                 self.rank[p] = (-sp.get_score(i), i)
                 self.bytes_of.append(p.replace(MARK, " ").encode())
+        self.byte_ids = np.array(self.byte_id, np.int32)
         self.order = {p: r for r, (p, _) in enumerate(sorted(self.rank.items(), key=lambda x: x[1]))}
         self.byte_len = np.array(list(map(len, self.bytes_of)), np.int64)
         self.byte_at = np.cumsum(self.byte_len) - self.byte_len
@@ -164,12 +165,16 @@ class PieceCodec:
         row, sym = np.concatenate([r for r, _ in done]), np.concatenate([x for _, x in done])
         held = sym >= 0
         flat, count = sym[held], held.sum(1)
-        odd = flat >= self.size  # characters outside the vocabulary: their bytes
-        if odd.any():
+        odd = np.flatnonzero(flat >= self.size)  # characters outside the vocabulary: their bytes
+        if len(odd):
             own = np.repeat(np.arange(len(row)), count)
-            wide = [[x] if x < self.size else [self.byte_id[b] for b in chr(x - self.size).encode()] for x in flat.tolist()]
-            count = np.bincount(own, weights=[len(x) for x in wide], minlength=len(row)).astype(np.int64)
-            flat = np.array([i for x in wide for i in x], np.int32)
+            data = [chr(x).encode() for x in (flat[odd] - self.size).tolist()]
+            wide = np.ones(len(flat), np.int64)
+            wide[odd] = list(map(len, data))
+            count = np.bincount(own, weights=wide, minlength=len(row)).astype(np.int64)
+            first = (np.cumsum(wide) - wide)[odd]
+            flat = np.repeat(flat, wide)
+            flat[spread(first, wide[odd])] = self.byte_ids[np.frombuffer(b"".join(data), np.uint8)]
         return row, flat, count
 
     def _segment(self, word: str, key: int) -> tuple[int, ...]:
@@ -238,22 +243,28 @@ class PieceCodec:
         hashes = run_hashes(points, start, end)
         lane = np.repeat(np.array(lanes, np.int64), np.diff(np.searchsorted(start, first)))
         if self.dropout:
-            # Each occurrence has a key of its own: nothing to keep for the next batch.
-            self._forget()
             place = (start - np.repeat(first[:-1], np.diff(np.searchsorted(start, first)))).astype(np.uint64)
             key = mix(self._keys(hashes, lane) + place * np.uint64(0x9FB21C651E98DF25))
         else:
             key = self._keys(hashes, np.zeros(len(start), np.int64))
         alone = literal[start]
         key[alone] = LITERAL
-        uniq, at, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE:
+        if self.dropout:
+            # Each occurrence has a key of its own: nothing to look up or to keep for the next batch.
             self._forget()
-        slots = np.array([self.cache.get(k, -1) for k in uniq.tolist()], np.int64)
-        miss = np.flatnonzero(slots < 0)
-        if len(miss):
-            slots[miss] = self._learn(points, start[at[miss]], end[at[miss]], uniq[miss])
-        slots = slots[back]
+            slots = np.full(len(start), self.cache[LITERAL], np.int64)
+            own = np.flatnonzero(~alone)
+            slots[own] = self._learn(points, start[own], end[own], key[own])
+        else:
+            uniq, at, back = np.unique(key, return_index=True, return_inverse=True)
+            if len(self.cache) > CACHE:
+                self._forget()
+            slots = np.array([self.cache.get(k, -1) for k in uniq.tolist()], np.int64)
+            miss = np.flatnonzero(slots < 0)
+            if len(miss):
+                slots[miss] = self._learn(points, start[at[miss]], end[at[miss]], uniq[miss])
+                self.cache.update(zip(uniq[miss].tolist(), slots[miss].tolist(), strict=True))
+            slots = slots[back]
         held, offset = slots & 0xFFFFFF, slots >> 24
         out = self.pool[spread(offset, held)]
         done = np.concatenate(([0], np.cumsum(held)))[np.searchsorted(start, first)]
@@ -294,7 +305,6 @@ class PieceCodec:
         for i in np.flatnonzero(kind == len(WIDTHS)).tolist():
             ids = self._segment(points[start[i] : end[i]].tobytes().decode("utf-32-le"), int(key[i]))
             put(np.array([i]), np.array(ids, np.int32), np.array([len(ids)]))
-        self.cache.update(zip(key.tolist(), slots.tolist(), strict=True))
         return slots
 
     def bytes_from(self, ids: np.ndarray) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, text
+from .text import clean, col, text
 
 #: One whole date; an ISO date-time's date; a date inside text; separated and compact forms.  Fixed values.
 WHOLE = r"^(20[0-9]{2})[\s]*[-./년][\s]*([0-9]{1,2})[\s]*[-./월][\s]*([0-9]{1,2})[\s]*일?\.?$"
@@ -14,6 +14,7 @@ INSIDE = r"(20[0-9]{2})[^0-9]{0,2}([0-9]{1,2})[^0-9]{0,2}([0-9]{1,2})"
 SEPARATED = r"(20[0-9]{2})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})"
 COMPACT = r"(20[0-9]{2})([0-9]{2})([0-9]{2})"
 LEADING = r"^[\s]*(20[0-9]{2})[.\-/]?([0-9]{1,2})[.\-/]?([0-9]{1,2})"
+DAY_MS = 86_400_000
 
 
 def _iso(c: Column, pattern: str) -> Column:
@@ -55,4 +56,22 @@ def strip_label(c: Column | str, labels: list[str]) -> Column:
 
 
 def epoch_ms_iso(c: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC whatever the session's zone; a year beyond 9999 has all its digits and no plus sign."""
+    c = col(c)
+    ms = F.pmod(c, F.lit(DAY_MS))
+    day = F.date_from_unix_date(_div(c - ms, DAY_MS).cast("int"))
+    year = F.year(day)
+    digits = F.when(year.between(0, 9999), _pad(year, 4)).otherwise(year.cast("string"))
+    h, m, s = _div(ms, 3_600_000), _div(ms, 60_000) % 60, _div(ms, 1000) % 60
+    date = [digits, F.lit("-"), _pad(F.month(day)), F.lit("-"), _pad(F.dayofmonth(day))]
+    time = [_pad(h), F.lit(":"), _pad(m), F.lit(":"), _pad(s), F.lit("."), _pad(ms % 1000, 3)]
+    return F.concat(*date, F.lit("T"), *time, F.lit("Z"))
+
+
+def _div(c: Column, n: int) -> Column:
+    """The whole quotient, never by way of a double."""
+    return F.call_function("div", c, F.lit(n))
+
+
+def _pad(c: Column, n: int = 2) -> Column:
+    return F.lpad(c.cast("string"), n, "0")

@@ -159,6 +159,7 @@ def date_label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("epoch_ms_iso", "SELECT event_id, strftime(make_timestamp((event_id * 86400017)::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(((event_id * 86400017) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso FROM events")
 def epoch_ms_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For ids from 0 on; below, the SQL's milliseconds would have a sign of their own."""
     return read(spark, sf_dir, "events", "event_id").select("event_id", D.epoch_ms_iso(F.col("event_id") * 86400017).alias("iso"))
 
 

@@ -38,6 +38,15 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=repr) == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_epoch_ms_iso_of_ids_of_a_large_table(spark, duck, tmp_path):
+    """Ids from 2932897 on give years beyond 9999."""
+    ids = [0, 2932896, 2932897, 5999999, 106751970, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id bigint").write.parquet(str(tmp_path / "events.parquet"))
+    want = duck.sql(SQL["epoch_ms_iso"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    rows = [(r.event_id, r.iso) for r in QUERIES["epoch_ms_iso"](spark, str(tmp_path)).collect()]
+    assert len(want) == len(ids) and sorted(rows, key=repr) == sorted(want, key=repr)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -61,6 +61,27 @@ def test_truncate_only_when_longer(spark):
     assert one(spark, "abcd", lambda c: T.truncate(c, 3)) == "abc …"
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Seoul", "America/New_York"])
+def test_epoch_ms_iso_has_years_of_any_length_in_utc(spark, zone):
+    wanted = {
+        0: "1970-01-01T00:00:00.000Z",
+        -1: "1969-12-31T23:59:59.999Z",
+        1_710_054_123_045: "2024-03-10T07:02:03.045Z",
+        253_402_300_799_999: "9999-12-31T23:59:59.999Z",
+        253_402_300_800_000: "10000-01-01T00:00:00.000Z",
+        9_223_372_036_854_775: "294247-01-10T04:00:54.775Z",
+        -62_167_219_200_000: "0000-01-01T00:00:00.000Z",
+        None: None,
+    }
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(v,) for v in wanted], "v bigint").select("v", D.epoch_ms_iso("v").alias("r"))
+        assert {v: r for v, r in df.collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_urls(spark):
     board = lambda c: U.board_id(c, "/board/", ("no", "nttId"))
     assert one(spark, "https://b.t/board/v?nttId=7", board) == "nttId:7"
